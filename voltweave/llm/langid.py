@@ -3,13 +3,15 @@
 Each language gets a raw-content zstandard dictionary cut from a bounded sample
 of its documents.  A text is split into windows that end at white space, every
 window of the whole text is compressed under every dictionary, and the language
-with the smallest total wins.  Dictionaries and texts are lower-cased.  The margin is the relative gap between the best
-and the second total; texts whose margin is under ``min_margin`` are rejected,
-as are texts without a letter.
+with the smallest total wins.  Dictionaries and texts are lower-cased.  The
+margin is the relative gap between the best and the second total.  Texts without
+a letter are rejected, and those of ``EVIDENCE`` bytes or more whose margin is
+under ``min_margin``; a shorter text, for which one byte is a wide margin, keeps
+its best language.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; ties go
-to the more frequent language, then to the one that sorts first; without any labelled text everything is
-``und``; repeated rows are classified one by one.
+to the more frequent language, then to the one that sorts first; without any
+labelled text everything is ``und``; repeated rows are classified one by one.
 """
 
 from __future__ import annotations
