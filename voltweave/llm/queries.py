@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pii, quality, simhash, toxicity
+from . import audio, decontaminate, langid, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_audio": op10_audio,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE_SQL}
