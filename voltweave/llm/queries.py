@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, langid, pieces, pii, quality, simhash, toxicity
+from . import audio, decontaminate, html_extract, langid, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_query(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
+    "op4_html": op4_html,
     "op5_pii": op5_pii,
     "op6_pieces": op6_pieces,
     "op7_decontaminate": op7_decontaminate,
