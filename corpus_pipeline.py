@@ -1,26 +1,58 @@
-"""A corpus pipeline of five stages; see ``STAGES``."""
+"""A corpus pipeline over ``documents``: five stages, each working on all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from voltweave.llm import langid
-from voltweave.llm.common import table
+from voltweave.llm import decontaminate, langid, pieces, pii, simhash
+from voltweave.llm.common import cut, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is rejected."""
-    model = langid.train(docs)
-    return langid.identify(docs, model, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language is told apart; those without letters or with a narrow margin go."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in angle brackets; ``n_chars`` follows the text."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, piece ids and their number, for every document."""
+    return pieces.encode_documents(docs, pieces.load())
+
 
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("PII", personal_data),
+    ("SentencePiece", tokens),
+]
 
-STAGES = [("language ID", language)]
+#: Dictionaries, fingerprints, boosted trees and piece ids are not SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; what a stage keeps is checkpointed, so that none runs twice."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
     return docs

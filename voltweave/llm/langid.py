@@ -96,29 +96,40 @@ def predict(model: Model, coders: list[Coder], column: pa.Array) -> tuple[list[s
     return [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, margin
 
 
-def identify(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``keep`` columns with ``lang_pred``, ``score``, ``margin`` and ``rejected`` (no letter, or margin under ``min_margin``).
-
-    ``lang_pred`` is the best language even of a rejected text with letters.  No shuffle.
-    Columns of ``keep`` must not be named like the four new ones.
-    """
-    keep = documents.columns if keep is None else keep
+def _identified(documents: DataFrame, model: Model, text: str, keep: list[str], min_margin: float) -> tuple[DataFrame, list]:
+    """Positional columns c0, c1, ... for ``keep`` with ``lang_pred``, ``score``, ``margin`` and ``rejected``; and the columns that name them back."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_CLASSES dictionaries of DICT_BYTES
-    frame = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text).alias("t"))
     names = [f"c{i}" for i in range(len(keep))]
+    frame = documents.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)), *([] if text in keep else [F.col(f"`{text}`").alias("t")]))
+    read = names[keep.index(text)] if text in keep else "t"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         coders = m.coders()
-        for b in slices(batches, "t"):
-            lang, score, margin = predict(m, coders, b.column("t"))
-            long = pc.fill_null(pc.binary_length(b.column("t")), 0).to_numpy(zero_copy_only=False)
+        for b in slices(batches, read):
+            lang, score, margin = predict(m, coders, b.column(read))
+            long = pc.fill_null(pc.binary_length(b.column(read)), 0).to_numpy(zero_copy_only=False)
             rejected = np.array([x == UNKNOWN for x in lang], bool) | (margin < min_margin) & (long >= EVIDENCE)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score), pa.array(margin), pa.array(rejected)], names=[*names, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(margin), pa.array(rejected)], names=[*names, "lang_pred", "score", "margin", "rejected"])
 
     types = dict(frame.dtypes)
-    out = frame.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in names), "lang_pred string, score double, margin double, rejected boolean"]))
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "lang_pred", "score", "margin", "rejected")
+    out = frame.mapInArrow(run, ", ".join([*(f"{n} {types[n]}" for n in names), "lang_pred string, score double, margin double, rejected boolean"]))
+    return out, [F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]
+
+
+def identify(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``keep`` columns with ``lang_pred``, ``score``, ``margin`` and ``rejected`` (no letter, or a narrow margin).
+
+    ``lang_pred`` is the best language even of a rejected text with letters.  No shuffle.
+    """
+    out, back = _identified(documents, model, text, documents.columns if keep is None else keep, min_margin)
+    return out.select(*back, "lang_pred", "score", "margin", "rejected")
+
+
+def accepted(documents: DataFrame, model: Model, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The documents whose language is not rejected, with their own columns only, whatever their names."""
+    out, back = _identified(documents, model, text, documents.columns, min_margin)
+    return out.where(~F.col("rejected")).select(*back)
 
 
 def language_query(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, html_extract, langid, pieces, pii, quality, simhash, toxicity
+from . import audio, decontaminate, html_extract, langid, packing, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.load_ranks())
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_html": op4_html,
     "op5_pii": op5_pii,

@@ -294,7 +294,7 @@ def simhash_query(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays.
 
-    Of repeated rows with that id the smallest stays.  Rows with a null id stay only if their
+    Of repeated rows with that id one stays, that with the smallest text.  Rows with a null id stay only if their
     whole component has no id.
     """
     found = cut(near_duplicates(documents, text, key))
@@ -302,7 +302,7 @@ def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
     kept = documents.join(ids.select(key), key, "left_semi").select(*documents.columns)
     if ids.where("rows > 1").limit(1).count():
         many = ids.where("rows > 1").select(key)
-        one = kept.join(many, key, "left_semi").groupBy(key).agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
+        one = kept.join(many, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*documents.columns), F.col(text)).alias("r")).select("r.*")
         kept = kept.join(many, key, "left_anti").select(*documents.columns).unionByName(one)
     orphans = found.where("component_id is null").select("fp").distinct()
     if orphans.limit(1).count():
