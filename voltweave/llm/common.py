@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +27,31 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the folder the session names in spark.checkpoint.dir.
-
-    A folder of our own is used only where the setting is absent, as in local tests.
-    """
+def shared_folder(df: DataFrame) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of our own only where the setting is absent, as in local tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vw-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage in a loop: written to the shared folder as Parquet and read back.
+
+    A checkpoint keeps the size estimate of its plan, which every join of every round multiplies
+    up; the files have a size of their own.
+    """
+    path = f"{shared_folder(df)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def class_counts(df: DataFrame, label: str, key: str) -> dict:
     """Rows of each of the ``MAX_CLASSES`` most frequent labels; reads the label and key columns only."""
     rows = (

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, slices
+from .common import buffers, cut, settle, slices
 
 #: Words of a shingle, seed of its XXH64, and differing bits up to which fingerprints are linked.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -245,9 +245,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large and small stars: each round re-hangs neighbours on their smallest
     common neighbour, by joins with grouped minima; the number of rounds grows with the
-    logarithm of the longest chain.  Each round is checkpointed.
+    logarithm of the longest chain.  Each round is written to the shared folder.
     """
-    edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -255,7 +255,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        edges = cut(
+        edges = settle(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
             .where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         )
