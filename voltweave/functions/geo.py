@@ -72,11 +72,15 @@ def with_geodesic(df: DataFrame, x1: str, y1: str, x2: str, y2: str, name: str)
 
 
 def geodesic_sql(source: str, x1: str, y1: str, x2: str, y2: str, name: str) -> str:
-    """SQL of ``source`` (a table or a subquery) with the distance; the same levels as subqueries."""
-    sql = f"select * from ({source})"
-    for level in geodesic_steps(x1, y1, x2, y2):
-        sql = f"select *, {', '.join(f'{e} as {n}' for n, e in level.items())} from ({sql})"
-    return f"select * , g_m as {name} from ({sql})"
+    """SQL, for the checking engine, of ``source`` (a query) with the distance.
+
+    The same levels as materialised steps: an engine that merges projections would write each
+    level out into all that use it.
+    """
+    steps = [f"q0 as materialized (select * from ({source}))"]
+    for k, level in enumerate(geodesic_steps(x1, y1, x2, y2)):
+        steps.append(f"q{k + 1} as materialized (select *, {', '.join(f'{e} as {n}' for n, e in level.items())} from q{k})")
+    return f"with {', '.join(steps)} select * , g_m as {name} from q{len(steps) - 1}"
 
 
 def point(x: Column | str, y: Column | str) -> Column:
