@@ -97,7 +97,7 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 def wav(data: bytes, tag: int, rate: int = RATE, block: int = 1, bits: int = 8) -> bytes:
     """A mono WAV file around encoded bytes."""
-    samples = len(data) if tag in (MULAW, ALAW) else len(data) // 2 if tag == PCM else (len(data) // block) * (2 * (block - 4) + 1)
+    samples = len(data) // 2 if tag == PCM else (len(data) // block) * (2 * (block - 4) + 1) if tag == ADPCM else len(data)
     extra = struct.pack("<HH", 2, 2 * (block - 4) + 1) if tag == ADPCM else struct.pack("<H", 0)
     per_second = rate * block if tag != ADPCM else rate * block // (2 * (block - 4) + 1)
     fmt = struct.pack("<HHIIHH", tag, 1, rate, per_second, block, bits) + extra

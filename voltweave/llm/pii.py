@@ -84,9 +84,9 @@ def _digits(x: str) -> str:
 
 
 def _luhn(d: str) -> str:
-    """SQL: the checksum of the digit string d holds."""
+    """SQL: the checksum of the digit string d holds; not without digits."""
     digit = f"cast(substring({d}, -k, 1) as int)"
-    return f"aggregate(sequence(1, greatest(length({d}), 1)), 0, (a, k) -> a + if(k % 2 = 1, {digit}, 2 * {digit} - if({digit} > 4, 9, 0))) % 10 = 0"
+    return f"if(length({d}) = 0, false, aggregate(sequence(1, greatest(length({d}), 1)), 0, (a, k) -> a + if(k % 2 = 1, {digit}, 2 * {digit} - if({digit} > 4, 9, 0))) % 10 = 0)"
 
 
 _OCTETS = "forall(split({x}, '[.]'), o -> length(ltrim('0', o)) <= 3 and cast(concat('0', ltrim('0', o)) as bigint) <= 255)"
@@ -197,15 +197,13 @@ def train(documents: DataFrame, text: str = "text", key: str = "doc_id", train_d
         return Model()
     span = 1 << 30
     some = documents.where(F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(span)) < min(span, span * train_docs // total + 1))
-    both = _let("t", f"coalesce(`{text}`, '')", f"named_struct('base', {_base()}, 'c', {_candidates()})")
-    agrees = "exists(b.base, y -> y.r = c.r and y.s <= c.s and c.e <= y.e and c.e - c.s >= 0.8 * (y.e - y.s))"
-    touches = "exists(b.base, y -> y.r = c.r and y.s < c.e and c.s < y.e)"
+    agrees = "exists(b, y -> y.r = c.r and y.s <= c.s and c.e <= y.e and c.e - c.s >= 0.8 * (y.e - y.s))"
+    touches = "exists(b, y -> y.r = c.r and y.s < c.e and c.s < y.e)"
+    # examples are made within the row, so that exploding copies nothing but them; a piece of a longer base span teaches nothing
+    examples = f"transform(filter({_candidates()}, c -> {agrees} or not {touches}), c -> named_struct('r', c.r, 'f', c.f, 'yes', {agrees}))"
     cells = (
-        some.select(F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(2)).alias("held"), F.expr(both).alias("b"))
-        .select("held", "b", F.explode("b.c").alias("c"))
-        .select("held", F.col("c.r").alias("r"), F.col("c.f").alias("f"), F.expr(agrees).alias("yes"), F.expr(touches).alias("near"))
-        .where("yes or not near")  # a piece of a longer base span teaches nothing
-        .groupBy("held", "r", "f", "yes").agg(F.count("*").alias("n")).collect()
+        some.select(F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(2)).alias("held"), F.explode(F.expr(_let("t", f"coalesce(`{text}`, '')", _let("b", _base(), examples)))).alias("c"))
+        .groupBy("held", F.col("c.r").alias("r"), F.col("c.f").alias("f"), F.col("c.yes").alias("yes")).agg(F.count("*").alias("n")).collect()
     )
     keys = sorted({(c.r, tuple(c.f)) for c in cells})
     if not keys:
