@@ -1,7 +1,8 @@
 """Registered queries of the network operators and the SQL that checks them.
 
 Both engines read the derived inputs of ``sources.fixtures`` from the driver tables.  Doubles are
-rounded to three decimals (metres, loads) or eight (degrees) on both sides.
+rounded on both sides: metres to two or three decimals, degrees to seven or eight, loads (multiples of
+1/2400) to six, where no value lies halfway.
 """
 
 from __future__ import annotations
@@ -61,9 +62,9 @@ def _undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sources -------------------------------------------------------------------------------------
 
 
-@query(f"select hid, region, round(peak, 3) as peak, round(load, 3) as load from ({_HOMES})")
+@query(f"select hid, region, round(peak, 3) as peak, round(load, 6) as load from ({_HOMES})")
 def home_peak_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.homes(spark, sf_dir).select("hid", F.col("nation").alias("region"), F.round("peak", 3).alias("peak"), F.round("load", 3).alias("load"))
+    return fixtures.homes(spark, sf_dir).select("hid", F.col("nation").alias("region"), F.round("peak", 3).alias("peak"), F.round("load", 6).alias("load"))
 
 
 @query(f"select hid, longitude, latitude, {', '.join(_HOURS)} from ({fixtures.HOMES_SQL})")
@@ -277,11 +278,11 @@ def secnet_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.join(lines, ["u", "v", "key"]).select("u", "v", "key", "homes", "edges", "hops_ok", "rating_ok", "degree_ok")
 
 
-@query(f"select m.u, m.v, m.key, round(sum(h.load), 2) as load from ({_MAPPED}) m join ({_HOMES}) h on h.hid = m.hid group by m.u, m.v, m.key")
+@query(f"select m.u, m.v, m.key, round(sum(h.load), 6) as load from ({_MAPPED}) m join ({_HOMES}) h on h.hid = m.hid group by m.u, m.v, m.key")
 def transformer_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load of the transformers of each link: that of its homes."""
     t = _stages(spark, sf_dir, "secondary")["transformers"]
-    return t.groupBy("u", "v", "key").agg(F.round(F.sum("load"), 2).alias("load"))
+    return t.groupBy("u", "v", "key").agg(F.round(F.sum("load"), 6).alias("load"))
 
 
 @query(f"select hid, round(cost, 2) as cost from (select hid, u, v, key, min(length) + {SEC.penalty!r}e0 as cost, count(*) over (partition by u, v, key) as n from ({_LINES}) group by hid, u, v, key) where n = 1")
