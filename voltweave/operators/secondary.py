@@ -175,6 +175,8 @@ def savings_cover(cost: np.ndarray, start: np.ndarray, load: np.ndarray, rating:
         for i in range(len(load)):
             a = where[i]
             rest = [k for k in paths[a] if k != i]
+            if price(rest) == math.inf:
+                continue  # without this home the path would use a line that may not run
             base = price(paths[a]) - price(rest)
             best = (1e-9, None, None)
             for b in range(len(paths)):
@@ -183,10 +185,12 @@ def savings_cover(cost: np.ndarray, start: np.ndarray, load: np.ndarray, rating:
                     continue
                 for at in range(len(own) + 1):
                     made = own[:at] + [i] + own[at:]
-                    won = base - (price(made) - price(own))
+                    if (cost_made := price(made)) == math.inf:
+                        continue
+                    won = base - (cost_made - price(own))
                     if won > best[0]:
                         best = (won, b, made)
-            if best[1] is not None and price(rest) < np.inf:
+            if best[1] is not None:
                 if best[1] != a:
                     paths[a] = rest
                 paths[best[1]] = best[2]
