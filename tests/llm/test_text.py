@@ -124,6 +124,18 @@ def test_scan_matches_plain_words(spark, max_inline):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t, *_ in rows if not plain_scan(t, ITEMS)[1]) and kept.columns[-1] == "w"
 
 
+@pytest.mark.parametrize("max_inline", [20_000, 3])
+def test_items_with_a_null_id_hit(spark, max_inline):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(TEXTS)]
+    items = [(None, ITEMS[0][1]), (None, "Short É item"), (10, ITEMS[4][1])]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.scan(docs, bench, max_inline=max_inline).select("r.doc_id", decontaminate.covered(F.col("hits")).alias("n_hit"), "items").collect()
+    want = {i: plain_scan(t, items)[1:] for i, t, *_ in rows}
+    assert {r.doc_id: (r.n_hit, [str(x) for x in r["items"]]) for r in out} == {i: (n, [x for x in ids if x != "None"]) for i, (n, ids) in want.items()}
+    kept = decontaminate.remove_contaminated(docs, bench, max_inline=max_inline)
+    assert {r.doc_id for r in kept.collect()} == {i for i, (n, _) in want.items() if not n}
+
+
 def test_scan_with_empty_tables(spark):
     docs, none = spark.createDataFrame(ODD, DOCS), spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.decontamination_query(docs, none).collect()

@@ -9,9 +9,10 @@ comparing the words.  Document text never moves: only hit windows and one narrow
 row per document are shuffled.
 
 Edge cases: null and wordless texts have no words and no hits; items without
-words are left out; repeated rows and ids, null ids included, each keep their own
-result row; ids of repeated items are reported once; an empty benchmark leaves
-every document clean.
+words are left out; items with a null id hit like others, but there is no id to
+report; repeated rows and ids, null ids included, each keep their own result row;
+ids of repeated items are reported once; an empty benchmark leaves every document
+clean.
 """
 
 from __future__ import annotations
@@ -91,11 +92,12 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: l
         F.struct(*(F.col(f"`{c}`") for c in keep)).alias("r"),
         F.expr(_let("w", words_sql(text), f"named_struct('n_words', size(w), 'found', {found})")).alias("s"),
     ).select("rid", "r", F.col("s.n_words").alias("n_words"), F.explode_outer("s.found").alias("x"))
+    windows = windows.withColumn("matched", F.lit(True))  # an item's id may be null
     match = (F.col("x.n") == windows.n) & (F.col("x.h") == windows.h) & (F.col("x.w") == windows.w)
     hits = rows.join(windows, match, "left")
     if known is None:  # most windows hit nothing: the first one of a row stands for the row
-        hits = hits.where("item is not null or x is null or x.p = 1")
-    hits = hits.select("rid", "r", "n_words", "item", F.when(F.col("item").isNotNull(), F.struct(F.col("x.p").alias("p"), F.col("x.n").alias("n"))).alias("hit"))
+        hits = hits.where("matched or x is null or x.p = 1")
+    hits = hits.select("rid", "r", "n_words", "item", F.when(F.col("matched"), F.struct(F.col("x.p").alias("p"), F.col("x.n").alias("n"))).alias("hit"))
     return hits.groupBy("rid").agg(
         F.first("r").alias("r"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.collect_set("item").alias("items")
     )
