@@ -170,6 +170,23 @@ def test_page_without_article_element():
     assert html_extract.main_text(page) == "\n".join([f"Paragraph number {i} has some words in it, and a few more." for i in range(6)] + ["End"])
 
 
+LONG = [f"Paragraph number {i} has some words in it, and a few more." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize("wrapper", ["form", "div class='content has-sidebar'", "div class='no-sidebar'", "div id='page-header-fixed'", "div class='social'", "section class='legal'"])
+@pytest.mark.parametrize("body", [BODY, f"<article>{BODY}</article>", f"<main>{BODY}</main>"])
+def test_wrapper_with_a_telling_name_keeps_the_page(wrapper, body):
+    page = f"<body><nav><a href=1>One</a></nav><{wrapper}>{body}<div class='sidebar'><p>Side text beside the page.</p></div></{wrapper.split()[0]}><footer><p>All rights reserved.</p></footer></body>"
+    assert html_extract.main_text(page) == "\n".join(LONG)
+
+
+def test_teasers_beside_the_article_stay_aside():
+    teaser = "<article><p>Read the other story that we have.</p></article>"
+    for beside in (f"<aside>{teaser}</aside>", f"<div class='related'>{teaser}</div>", "<form><p>Your mail and your name please, and then send it.</p></form>"):
+        assert html_extract.main_text(f"<body><article>{BODY}</article>{beside}</body>") == "\n".join(LONG)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;text&gt;"), (5, "u", "<div>" * 3000 + "deep text" + "</div>" * 3000), (6, "u", "<article><p>open <b>tags <i>everywhere"), (6, "u", "<article><p>open <b>tags <i>everywhere"), (7, "u", "<script>never closed <p>x</p>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -6,7 +6,9 @@ the element it stands in.  The text-to-tag ratios of a page's lines are smoothed
 by a Gaussian and lines at or above a share of their standard deviation form the
 content clusters.  Elements that announce something else by their tag, role,
 class or id (menus, headers, footers, asides, forms, adverts, notices, comments)
-are set aside before, whatever their ratio.  The region is the smallest element
+are set aside before, whatever their ratio, unless they hold main text: an
+article or main element, or where no such element stands outside, most of the
+clustered text (a form around the page, a wrapper with a telling class).  The region is the smallest element
 that holds nearly all clustered text, an article or main element where there is
 one, and every line of the region that is not set aside belongs to the text, so
 that short paragraphs survive.
@@ -32,6 +34,8 @@ from .common import slices
 
 #: Width of the Gaussian in lines, share of the standard deviation that clusters start at, share of clustered text that a region holds.
 SIGMA, SHARE, REGION = 1.0, 0.5, 0.9
+#: Share of clustered text above which an element is not set aside for its class, id or form.
+MOST = 0.5
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -49,6 +53,10 @@ _ASIDE_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets "
     "copyright legal disclaimer form search".split()
 )
+#: First words of classes that tell what stands beside an element, not what it is.
+_STATE_WORDS = frozenset("has no not with without".split())
+#: Ways of setting an element aside: by its own kind, or by a guess from form and names.
+_KIND, _GUESS = 1, 2
 #: Elements that hold one paragraph; a region is at least the element around them.
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td pre blockquote".split())
 _WORD = re.compile(r"[a-z]+")
@@ -59,19 +67,32 @@ _ENDS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd
          "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select", "datalist", "optgroup"})}
 
 
-def _set_aside(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Whether an element announces that it is not main text; ``inside``: it stands in an article or main element."""
+def _names(value: str) -> Iterator[str]:
+    """Words of a class or id."""
+    for name in value.split():
+        words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+        if words and words[0] not in _STATE_WORDS:
+            yield from words
+
+
+def _set_aside(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    """Whether and how an element announces that it is not main text; ``inside``: it stands in an article or main element."""
     if tag in _ASIDE_TAGS or tag == "header" and not inside:
-        return True
+        return _GUESS if tag == "form" else _KIND
     if tag in ("html", "body", "article", "main"):
         named = [v for k, v in attrs if k in ("class", "id") and v] if tag == "article" else []
-        return any(w in ("comment", "comments", "reply") for v in named for w in _WORD.findall(v.lower()))
+        return _KIND * any(w in ("comment", "comments", "reply") for v in named for w in _names(v))
+    found = 0
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v):
-            return True
-        if v and (k == "role" and v.lower() in _ASIDE_ROLES or k in ("class", "id") and any(w in _ASIDE_WORDS for w in _WORD.findall(_CAMEL.sub(" ", v).lower()))):
-            return True
-    return False
+            return _KIND
+        if v and k == "role" and v.lower() in _ASIDE_ROLES:
+            if v.lower() != "form":
+                return _KIND
+            found = _GUESS
+        if v and k in ("class", "id") and any(w in _ASIDE_WORDS for w in _names(v)):
+            found = _GUESS
+    return found
 
 
 @dataclass
@@ -80,7 +101,6 @@ class Line:
     tags: int
     links: int
     node: int
-    aside: bool
 
 
 @dataclass
@@ -88,28 +108,26 @@ class _Open:
     tag: str
     node: int
     silent: bool
-    aside: bool
     inside: bool
 
 
 @dataclass
 class _Parser(HTMLParser):
-    """Collects lines and the tree of block elements (parent and tag of each)."""
+    """Collects lines and the tree of block elements and those to set aside (parent, tag and mark of each)."""
 
     lines: list[Line] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag = [-1], ["#page"]
-        self.stack = [_Open("#page", 0, False, False, False)]
+        self.parent, self.tag, self.mark = [-1], ["#page"], [0]
+        self.stack = [_Open("#page", 0, False, False)]
         self.parts: list[str] = []
         self.tags = self.links = self.in_link = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, self.links, top.node, top.aside))
+            self.lines.append(Line(text, self.tags, self.links, self.stack[-1].node))
         self.parts, self.tags, self.links = [], 0, 0
 
     def _close(self, index: int) -> None:
@@ -146,12 +164,14 @@ class _Parser(HTMLParser):
             self._close(i)
         top = self.stack[-1]
         node = top.node
-        if block:
+        mark = _set_aside(tag, attrs, top.inside)
+        if block or mark:
             node = len(self.parent)
             self.parent.append(top.node)
             self.tag.append(tag)
+            self.mark.append(mark)
         self.in_link += tag == "a"
-        self.stack.append(_Open(tag, node, top.silent or tag in _SILENT, top.aside or _set_aside(tag, attrs, top.inside), top.inside or tag in ("article", "main")))
+        self.stack.append(_Open(tag, node, top.silent or tag in _SILENT, top.inside or tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash does not end an HTML element
@@ -196,6 +216,58 @@ def clusters(lines: list[Line]) -> np.ndarray:
     return (level >= SHARE * level.std()) & (ratio > 0)
 
 
+def _weight(p: _Parser, lines: list[Line], chosen: np.ndarray) -> np.ndarray:
+    """Characters of clustered text below each element."""
+    weight = np.zeros(len(p.parent))
+    for x, ok in zip(lines, chosen, strict=True):
+        weight[x.node] += len(x.text) * ok
+    for i in range(len(weight) - 1, 0, -1):
+        weight[p.parent[i]] += weight[i]
+    return weight
+
+
+def aside(p: _Parser) -> list[bool]:
+    """Which elements are set aside.
+
+    What stands around a main element is not, nor around an article unless a longer article or main stands
+    free of marks (around a teaser in an aside or footer: unless more text does).  Nor is a form or an element
+    with a telling name that holds most of the clustered text, where no article or main free of marks holds any.
+    """
+    mark = list(p.mark)
+    if not any(mark) or not p.lines:
+        return [False] * len(mark)
+    chosen = clusters(p.lines)
+    weight = _weight(p, p.lines, chosen)
+
+    def spread() -> list[bool]:
+        out = [bool(mark[0])]
+        for i in range(1, len(mark)):
+            out.append(out[p.parent[i]] or bool(mark[i]))
+        return out
+
+    out = spread()
+    own = [i for i, t in enumerate(p.tag) if t in ("article", "main") and not mark[i] and weight[i] > 0]
+    free = max((weight[i] for i in own if not out[i]), default=0)
+    rest = sum(len(x.text) for x, ok in zip(p.lines, chosen, strict=True) if ok and not out[x.node])
+    for i in own:
+        around, j = [], p.parent[i] if out[i] else 0
+        while j > 0:
+            around.append(j)
+            j = p.parent[j]
+        marks = [mark[j] for j in around]
+        comment = any(p.tag[j] == "article" and mark[j] for j in around)
+        if not comment and (p.tag[i] == "main" or weight[i] >= (max(free, rest) if _KIND in marks else free)):
+            for j in around:
+                mark[j] = 0
+    out = spread()
+    if not any(weight[i] and not out[i] for i in own):
+        for i in range(1, len(mark)):  # from the outermost inwards
+            if mark[i] == _GUESS and weight[i] > MOST * weight[0]:
+                mark[i] = 0
+        out = spread()
+    return out
+
+
 def _menu(line: Line, tag: str) -> bool:
     """A list entry or cell that is nothing but a link."""
     return tag in ("li", "td", "dd") and line.links >= 0.9 * len(line.text.replace(" ", "")) > 0
@@ -206,18 +278,14 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     p = parse(html)
-    left = [x for x in p.lines if not x.aside]
+    gone = aside(p)
+    left = [x for x in p.lines if not gone[x.node]]
     if not left:
         return ""
     chosen = clusters(left)
     if not chosen.any():
         chosen[:] = True
-    # characters of clustered text below each element
-    weight = np.zeros(len(p.parent))
-    for x, ok in zip(left, chosen, strict=True):
-        weight[x.node] += len(x.text) * ok
-    for i in range(len(weight) - 1, 0, -1):
-        weight[p.parent[i]] += weight[i]
+    weight = _weight(p, left, chosen)
     holds = np.zeros(len(weight), bool)  # an article with clustered text properly below
     for i in range(len(weight) - 1, 0, -1):
         holds[p.parent[i]] |= holds[i] or p.tag[i] == "article" and weight[i] > 0
