@@ -187,6 +187,21 @@ def test_teasers_beside_the_article_stay_aside():
         assert html_extract.main_text(f"<body><article>{BODY}</article>{beside}</body>") == "\n".join(LONG)
 
 
+def test_main_with_text_outside_its_article():
+    page = f"<body><main><h1>Title of it</h1>{BODY}<article>{BODY[: len(BODY) // 2]}</article></main><footer>us</footer></body>"
+    assert html_extract.main_text(page) == "\n".join(["Title of it", *LONG, *LONG[:3]])
+
+
+def test_text_beside_an_article():
+    page = f"<body><nav><a href=1>One</a></nav><div>{BODY}</div><article>{BODY}</article><footer>us</footer></body>"
+    assert html_extract.main_text(page) == "\n".join(LONG * 2)
+
+
+def test_blocks_beside_one_very_long_block():
+    page = f"<body><nav><a href=1>One</a></nav><div><h1>Headline of the page</h1></div><div><p>{LONG[0]}</p></div><div><p>{'many words ' * 400}</p></div><div><p>{LONG[1]}</p></div><div><p>{LONG[2]}</p></div><footer>us</footer></body>"
+    assert html_extract.main_text(page) == "\n".join(["Headline of the page", LONG[0], ("many words " * 400).strip(), LONG[1], LONG[2]])
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;text&gt;"), (5, "u", "<div>" * 3000 + "deep text" + "</div>" * 3000), (6, "u", "<article><p>open <b>tags <i>everywhere"), (6, "u", "<article><p>open <b>tags <i>everywhere"), (7, "u", "<script>never closed <p>x</p>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -8,10 +8,11 @@ content clusters.  Elements that announce something else by their tag, role,
 class or id (menus, headers, footers, asides, forms, adverts, notices, comments)
 are set aside before, whatever their ratio, unless they hold main text: an
 article or main element, or where no such element stands outside, most of the
-clustered text (a form around the page, a wrapper with a telling class).  The region is the smallest element
-that holds nearly all clustered text, an article or main element where there is
-one, and every line of the region that is not set aside belongs to the text, so
-that short paragraphs survive.
+clustered text (a form around the page, a wrapper with a telling class).  The region holds
+all clustered text: the article and main elements that have some of their own, or
+where other clustered text stands outside them, the smallest element around all of
+it.  Every line of the region that is not set aside belongs to the text, so that
+short paragraphs survive.
 
 Edge cases: null and empty pages, and pages without text, give an empty text;
 broken markup is read as the parser reads it, open elements end with the page;
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Width of the Gaussian in lines, share of the standard deviation that clusters start at, share of clustered text that a region holds.
-SIGMA, SHARE, REGION = 1.0, 0.5, 0.9
+#: Width of the Gaussian in lines, share of the standard deviation that clusters start at.
+SIGMA, SHARE = 1.0, 0.5
 #: Share of clustered text above which an element is not set aside for its class, id or form.
 MOST = 0.5
 
@@ -286,13 +287,14 @@ def main_text(html: str | None) -> str:
     if not chosen.any():
         chosen[:] = True
     weight = _weight(p, left, chosen)
-    holds = np.zeros(len(weight), bool)  # an article with clustered text properly below
+    named = [t in ("article", "main") for t in p.tag]
+    inner = np.zeros(len(weight))  # of it, what stands in article and main elements properly below
     for i in range(len(weight) - 1, 0, -1):
-        holds[p.parent[i]] |= holds[i] or p.tag[i] == "article" and weight[i] > 0
-    regions = [i for i, t in enumerate(p.tag) if t in ("article", "main") and weight[i] > 0 and not holds[i]]
-    if sum(weight[i] for i in regions) < 0.25 * weight[0] or not regions:
-        # elements that hold nearly all of it stand one inside the other; the last is the smallest
-        node = int(np.flatnonzero(weight >= REGION * weight[0])[-1])
+        inner[p.parent[i]] += weight[i] if named[i] else inner[i]
+    regions = [i for i, ok in enumerate(named) if ok and weight[i] > inner[i]]
+    if inner[0] < weight[0]:
+        # elements that hold all of it stand one inside the other; the last is the smallest
+        node = int(np.flatnonzero(weight >= weight[0])[-1])
         regions = [p.parent[node] if node and p.tag[node] in _LEAVES else node]
     inside = np.zeros(len(weight), bool)
     inside[regions] = True
