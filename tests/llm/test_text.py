@@ -202,6 +202,14 @@ def test_blocks_beside_one_very_long_block():
     assert html_extract.main_text(page) == "\n".join(["Headline of the page", LONG[0], ("many words " * 400).strip(), LONG[1], LONG[2]])
 
 
+def test_linked_entries_of_an_article_stay():
+    sources = "<h2>Sources</h2><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul><table><tr><td><a href=3>Linked cell</a></td></tr></table>"
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<body><{tag}>{BODY}{sources}</{tag}></body>") == "\n".join([*LONG, "Sources", "First source", "Second source", "Linked cell"])
+    menu, mixed = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>", f"<ul><li>{LONG[0]}</li><li><a href=1>Linked entry</a></li></ul>"
+    assert html_extract.main_text(f"<body><div>{menu}{BODY}{mixed}</div></body>") == "\n".join([*LONG, LONG[0], "Linked entry"])
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;text&gt;"), (5, "u", "<div>" * 3000 + "deep text" + "</div>" * 3000), (6, "u", "<article><p>open <b>tags <i>everywhere"), (6, "u", "<article><p>open <b>tags <i>everywhere"), (7, "u", "<script>never closed <p>x</p>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -12,7 +12,8 @@ clustered text (a form around the page, a wrapper with a telling class).  The re
 all clustered text: the article and main elements that have some of their own, or
 where other clustered text stands outside them, the smallest element around all of
 it.  Every line of the region that is not set aside belongs to the text, so that
-short paragraphs survive.
+short paragraphs survive; only outside articles and mains, lists and tables without
+any clustered text lose the entries that are nothing but a link.
 
 Edge cases: null and empty pages, and pages without text, give an empty text;
 broken markup is read as the parser reads it, open elements end with the page;
@@ -60,6 +61,7 @@ _STATE_WORDS = frozenset("has no not with without".split())
 _KIND, _GUESS = 1, 2
 #: Elements that hold one paragraph; a region is at least the element around them.
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td pre blockquote".split())
+_LISTS = frozenset("ul ol dl dir table".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -300,7 +302,10 @@ def main_text(html: str | None) -> str:
     inside[regions] = True
     for i in range(1, len(inside)):
         inside[i] |= inside[p.parent[i]]
-    return "\n".join(x.text for x in left if inside[x.node] and not _menu(x, p.tag[x.node]))
+    kept = np.zeros(len(weight), bool)  # elements whose linked entries are no menu
+    for i in range(1, len(kept)):
+        kept[i] = kept[p.parent[i]] or named[i] or p.tag[i] in _LISTS and weight[i] > 0
+    return "\n".join(x.text for x in left if inside[x.node] and (kept[x.node] or not _menu(x, p.tag[x.node])))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
