@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -81,6 +82,29 @@ def test_language_rejects_a_narrow_margin_and_keeps_columns(spark):
     assert langid.accepted(docs.where(F.length("text") > 300), twin).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñçåøß"
+    syllables = {f"l{i:02}": ["".join(rng.choice(letters) for _ in range(3)) for _ in range(10)] for i in range(70)}
+    rows = []
+    for i, (lang, own) in enumerate(syllables.items()):
+        for _ in range(8 if i < 64 else 4):  # the last six are the rarest
+            rows.append((len(rows), " ".join(rng.choice(own) + rng.choice(own) for _ in range(60)), lang, "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs)
+    assert sorted(model.langs) == sorted(syllables) and model.langs[-6:] == [f"l{i}" for i in range(64, 70)]
+    fresh = [(i, " ".join(rng.choice(own) + rng.choice(own) for _ in range(60)), lang, "s", 0) for i, (lang, own) in enumerate(syllables.items())]
+    got = langid.identify(spark.createDataFrame(fresh, DOCS), model).collect()
+    assert len(got) == 70 and all(r.lang_pred == r.lang for r in got)
+
+
+def test_many_languages_get_smaller_dictionaries(spark, monkeypatch):
+    rows, _ = corpus()
+    monkeypatch.setattr(langid, "ALL_BYTES", 16_000)
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    assert len(model.langs) == 4 and all(3000 < len(d) <= 4000 for d in model.dicts)
+
+
 def test_language_without_training_text(spark):
     got = langid.language_query(spark.createDataFrame([(1, "some text", None, None, 9)], DOCS)).first()
     assert got.lang_pred == "und" and langid.language_query(spark.createDataFrame([], DOCS)).count() == 0

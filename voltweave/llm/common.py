@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker handles at once; an Arrow batch above it is cut into slices.
 SLICE_BYTES = 4 << 20
-#: A class set larger than this is not a label column; sampling keeps the most frequent ones.
-MAX_CLASSES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +51,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str, key: str) -> dict:
-    """Rows of each of the ``MAX_CLASSES`` most frequent labels; reads the label and key columns only."""
+    """Rows of every label; reads the label and key columns only."""
     rows = (
         df.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-        .groupBy(label).agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), label).limit(MAX_CLASSES).collect()
+        .groupBy(label).agg(F.count("*").alias("n")).collect()
     )
     return {r[label]: r["n"] for r in rows}
 
@@ -66,16 +63,15 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_class: int, seed: in
     """About ``per_class`` rows of each label value, chosen by a hash of ``key``.
 
     The share kept is set from exact label counts, so the expected size is at most
-    ``per_class`` for each of at most ``MAX_CLASSES`` labels, whatever the input size.
+    ``per_class`` for each label, whatever the input size; no label is left out.
     Null labels and null keys are left out.
     """
     counts = class_counts(df, label, key) if counts is None else counts
     if not counts:
         return df.where(F.lit(False))
     span = 1 << 30
-    keep: Column = F.lit(0)
-    for value, n in counts.items():
-        keep = F.when(F.col(label) == F.lit(value), F.lit(min(span, int(span * per_class / n) + 1))).otherwise(keep)
+    share = {value: min(span, int(span * per_class / n) + 1) for value, n in counts.items()}
+    keep = F.try_element_at(F.create_map(*(F.lit(x) for pair in share.items() for x in pair)), F.col(label))
     return df.where((F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(span)) < keep) & F.col(label).isNotNull() & F.col(key).isNotNull())
 
 

@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language gets a raw-content zstandard dictionary cut from a bounded sample
-of its documents.  A text is split into windows that end at white space, every
+Every language gets a raw-content zstandard dictionary cut from a bounded sample
+of its documents; where there are very many, the dictionaries are smaller.  A text is split into windows that end at white space, every
 window of the whole text is compressed under every dictionary, and the language
 with the smallest total wins.  Dictionaries and texts are lower-cased.  The
 margin is the relative gap between the best and the second total.  Texts without
@@ -16,7 +16,7 @@ labelled text everything is ``und``; repeated rows are classified one by one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,10 @@ UNKNOWN = "und"
 DOCS_PER_LANG = 150
 #: Bytes of a dictionary.
 DICT_BYTES = 96 << 10
+#: Bytes of all dictionaries; above about 680 languages each of them is shorter for it, but none under the last.
+ALL_BYTES, LEAST_BYTES = 64 << 20, 1 << 10
+#: Dictionaries that a worker keeps ready (about 1 MB each); of more languages it makes one ready at a time.
+READY = 64
 #: Bytes of a window.
 WINDOW = 1024
 #: Margin under which the best language is rejected, and the bytes of text from which that holds.
@@ -45,8 +49,17 @@ class Model:
     dicts: list[bytes]
     window: int = WINDOW
 
-    def coders(self) -> list[Coder]:
-        return [Coder(d) for d in self.dicts]
+    def coders(self) -> Iterable[Coder]:
+        """Can be gone over again and again."""
+        return [Coder(d) for d in self.dicts] if len(self.dicts) <= READY else _InTurn(self.dicts)
+
+
+@dataclass
+class _InTurn:
+    dicts: list[bytes]
+
+    def __iter__(self) -> Iterator[Coder]:
+        return map(Coder, self.dicts)
 
 
 def mix(texts: list[str], size: int) -> bytes:
@@ -65,32 +78,41 @@ def mix(texts: list[str], size: int) -> bytes:
 
 
 def train(documents: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES) -> Model:
-    """Dictionaries from a bounded sample of documents with a language."""
+    """Dictionaries of all languages from a bounded sample of each; they are cut where the sample is, so that only they come to the driver."""
     rows = documents.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).where(F.col("t").rlike(r"\p{L}"))
     counts = class_counts(documents.select(F.col(lang).alias("lang"), F.col(key).alias("k")), "lang", "k")
-    got = sorted((r.lang, r.k, r.t) for r in bounded_sample(rows, "lang", "k", docs_per_lang, counts=counts).collect())
-    langs = sorted({g[0] for g in got if g[0] != UNKNOWN}, key=lambda x: (-counts[x], x))  # ties go to the first
-    return Model(langs, [mix([t.lower() for x, _, t in got if x == name], dict_bytes) for name in langs])
+    size = max(min(dict_bytes, LEAST_BYTES), min(dict_bytes, ALL_BYTES // max(1, len(counts))))
+
+    def cut_one(own: pa.Table) -> pa.Table:
+        got = sorted(zip(own.column("k").to_pylist(), own.column("t").to_pylist(), strict=True))
+        return pa.table({"lang": own.column("lang").slice(0, 1).cast(pa.string()), "d": pa.array([mix([t.lower() for _, t in got], size)], pa.binary())})
+
+    made = bounded_sample(rows, "lang", "k", docs_per_lang, counts=counts).groupBy("lang").applyInArrow(cut_one, "lang string, d binary").collect()
+    dicts = {r.lang: bytes(r.d) for r in made if r.lang != UNKNOWN}
+    langs = sorted(dicts, key=lambda x: (-counts[x], x))  # ties go to the first
+    return Model(langs, [dicts[name] for name in langs])
 
 
-def totals(model: Model, coders: list[Coder], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Compressed bytes of each row under each dictionary."""
+def totals(model: Model, coders: Iterable[Coder], data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Compressed bytes of each row, under one dictionary after the other."""
     row, start, end = windows(data, offsets, model.window)
     raw = data.tobytes()
     n = len(offsets) - 1
-    return np.stack([np.bincount(row, weights=c.lengths(raw, start, end), minlength=n) for c in coders], axis=1)
+    return (np.bincount(row, weights=c.lengths(raw, start, end), minlength=n) for c in coders)
 
 
-def predict(model: Model, coders: list[Coder], column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def predict(model: Model, coders: Iterable[Coder], column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Best language, score and margin of each text."""
     n = len(column)
     letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
-    if not coders:
+    if not model.dicts:
         return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
-    size = totals(model, coders, *buffers(pc.utf8_lower(column)))
-    best = size.argmin(axis=1)
-    order = np.sort(size, axis=1)
-    margin = (order[:, 1] - order[:, 0]) / np.maximum(order[:, 1], 1) if len(coders) > 1 else np.ones(n)
+    best, least, second = np.zeros(n, np.int64), np.full(n, np.inf), np.full(n, np.inf)
+    for i, size in enumerate(totals(model, coders, *buffers(pc.utf8_lower(column)))):
+        second = np.minimum(second, np.maximum(least, size))
+        best[size < least] = i
+        least = np.minimum(least, size)
+    margin = (second - least) / np.maximum(second, 1) if len(model.dicts) > 1 else np.ones(n)
     margin = np.where(letters, margin, 0.0)
     score = np.where(letters, 1 / (1 + np.exp(-np.clip(100 * margin, 0, 40))), 0.0)
     return [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, margin
@@ -98,7 +120,7 @@ def predict(model: Model, coders: list[Coder], column: pa.Array) -> tuple[list[s
 
 def _identified(documents: DataFrame, model: Model, text: str, keep: list[str], min_margin: float) -> tuple[DataFrame, list]:
     """Positional columns c0, c1, ... for ``keep`` with ``lang_pred``, ``score``, ``margin`` and ``rejected``; and the columns that name them back."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_CLASSES dictionaries of DICT_BYTES
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # about ALL_BYTES at most
     names = [f"c{i}" for i in range(len(keep))]
     frame = documents.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)), *([] if text in keep else [F.col(f"`{text}`").alias("t")]))
     read = names[keep.index(text)] if text in keep else "t"
