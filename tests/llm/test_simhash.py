@@ -111,6 +111,14 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["11", "12", "2", "3", "7", "None"]
 
 
+def test_clashing_ids_lose_no_component(spark):
+    near, other = TEXTS[0][1], "a wholly different text about rivers and the boats that go on them every day"
+    rows = [(1, near, "a"), (1, other, "b"), (2, "third thing that nobody else has said before in here", "c"), (2, near.upper(), "d"), (9, None, "e"), (9, None, "f")]
+    rows += [(None, "nobody has this text", "g"), (None, "nobody has this text", "h"), (None, other, "i")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t, _ in (rows[0], rows[1], rows[2], rows[4], rows[6]))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_query(docs).count() == 0

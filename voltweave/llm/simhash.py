@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffers, cut, settle, slices
 
@@ -71,13 +72,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
 
 def fingerprint_documents(documents: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """``key`` and ``fp`` (signed 64-bit) of every row; no shuffle."""
-    kind = documents.schema[key].dataType.simpleString()
+    kind = T.StructType([T.StructField("k", documents.schema[key].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(fingerprints(*buffers(b.column("t")), shingle).view(np.int64))], names=["k", "fp"])
 
-    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp bigint").withColumnRenamed("k", key)
+    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -269,15 +270,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``key``, ``fp`` and ``component_id`` (smallest key of the component) of every row."""
+def _grouped(documents: DataFrame, text: str, key: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``fp``) of every row; (``fp``, ``root``, ``component_id``) of every fingerprint, root the smallest of its component."""
     prints = cut(fingerprint_documents(documents, text, key, shingle))
     own = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     root = components(link_fingerprints(own.select("fp"), radius))
     linked = own.join(root, own.fp == root.node)
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(smallest, "root").select("fp", "component_id")
-    each = cut(own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    linked = linked.join(smallest, "root").select("fp", "root", "component_id")
+    each = own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints, cut(each)
+
+
+def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``key``, ``fp`` and ``component_id`` (smallest key of the component) of every row."""
+    prints, each = _grouped(documents, text, key, radius, shingle)
     return prints.join(each, "fp").select(key, "fp", "component_id")
 
 
@@ -292,26 +299,22 @@ def simhash_query(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest id stays.
+    """The documents without near-duplicates: one row of each component stays, that with the smallest id.
 
-    Of repeated rows with that id one stays, that with the smallest text.  Rows with a null id stay only if their
-    whole component has no id.
+    Of several rows of a component with that id the one with the smallest text stays, whatever rows of other
+    components have the id too.  A row with a null id stays only if its whole component has no id.
     """
-    found = cut(near_duplicates(documents, text, key))
-    ids = cut(found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")))
-    kept = documents.join(ids.select(key), key, "left_semi").select(*documents.columns)
-    if ids.where("rows > 1").limit(1).count():
-        many = ids.where("rows > 1").select(key)
-        one = kept.join(many, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*documents.columns), F.col(text)).alias("r")).select("r.*")
-        kept = kept.join(many, key, "left_anti").select(*documents.columns).unionByName(one)
-    orphans = found.where("component_id is null").select("fp").distinct()
-    if orphans.limit(1).count():
-        kept = kept.unionByName(_of_prints(documents.where(F.col(key).isNull()), orphans, text))
+    prints, each = _grouped(documents, text, key, RADIUS, SHINGLE)
+    first = F.col(key).eqNullSafe(F.col("component_id"))
+    found = prints.join(each, "fp").groupBy(key).agg(F.count("*").alias("rows"), F.max(first).alias("first"))
+    ids = cut(found.where("first"))
+    alone = ids.where((F.col("rows") == 1) & F.col(key).isNotNull()).select(key)
+    kept = documents.join(alone, key, "left_semi").select(*documents.columns)
+    # ids of several rows, and the null id, do not tell the rows apart: these are decided by their fingerprints
+    many = ids.where((F.col("rows") > 1) | F.col(key).isNull()).select(F.col(key).alias("id"))
+    if many.limit(1).count():
+        rows = documents.join(many, F.col(key).eqNullSafe(F.col("id")), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("r"), F.col(text).alias("t"))
+        rows = fingerprint_documents(rows, "t", "r").join(each, "fp").where(F.col("r")[key].eqNullSafe(F.col("component_id")))
+        one = rows.groupBy("root").agg(F.min_by("r", F.struct(F.col("r")[text])).alias("r"))
+        kept = kept.unionByName(one.select("r.*"))
     return kept
-
-
-def _of_prints(documents: DataFrame, prints: DataFrame, text: str) -> DataFrame:
-    """Rows without an id whose fingerprint is among ``prints``."""
-    lone = fingerprint_documents(documents.select(text), text, text).join(prints, "fp").select(F.col(text).alias("_t")).distinct()
-    return documents.join(lone, F.col(text).eqNullSafe(F.col("_t")), "left_semi")
-
