@@ -227,6 +227,17 @@ def test_components_are_joined_to_the_largest(spark):
     assert [(r.u, r.v, r.key) for r in new] == [("b", "c", 0)] and e.count() == 4
 
 
+def test_far_components_are_joined_or_raise(spark):
+    cols = "node_id string, lon double, lat double, label string, load double"
+    edges = spark.createDataFrame([("a", "b", 0, "r", 1.0, None), ("b", "t", 0, "r", 1.0, None), ("c", "s", 0, "r", 1.0, None)], f"u string, v string, key int, highway string, length double, coords array<{P}>")
+    rows = [("a", 0.0, 38.0, "R", 0.0), ("b", 0.001, 38.0, "R", 0.0), ("t", 0.002, 38.0, "T", 0.0), ("c", 80.0, 38.0, "R", 0.0), ("s", 80.001, 38.0, "T", 0.0)]
+    _, e = graph.join_components(spark.createDataFrame(rows, cols), edges)
+    assert [(r.u, r.v) for r in e.collect() if r.highway == "unclassified"] == [("b", "c")]
+    roadless = [r if r[0] != "c" else ("c", 80.0, 38.0, "T", 0.0) for r in rows]
+    with pytest.raises(ValueError):
+        graph.join_components(spark.createDataFrame(roadless, cols), edges)
+
+
 def test_girvan_newman_splits_at_the_bridge():
     a = np.array([0, 1, 0, 3, 4, 3, 2])
     b = np.array([1, 2, 2, 4, 5, 5, 3])

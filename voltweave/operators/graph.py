@@ -7,6 +7,7 @@ Each function takes ``by``, columns (such as a region) within which graphs are s
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ def join_components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = N
 
     A graph in one piece stays as it is.  Otherwise components without a transformer are
     dropped and every other one is tied to the largest (most nodes, then smallest id) by
-    the shortest pair of road nodes, ties by (u, v).
+    the shortest pair of road nodes, ties by (u, v).  A component that cannot be tied raises ValueError.
     """
     by = by or []
     comp = cut(components(nodes, edges, by))
@@ -62,29 +63,37 @@ def join_components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = N
     ids = kept.select(*by, "node_id")
     old = edges.join(ids.withColumnRenamed("node_id", "u"), [*by, "u"], "left_semi").select(*edges.columns)
     ties = nearest_pairs(kept.where("rank = 1 and label = 'R'"), kept.where("rank > 1 and label = 'R'"), by)
+    untied = stat.where("rank > 1").join(ties.select(*by, "component"), [*by, "component"], "left_anti").limit(3).collect()
+    if untied:
+        raise ValueError(f"not connected: {', '.join(str(r.component) for r in untied)}")
     new = ties.select(*by, "u", "v", F.lit("unclassified").alias("highway"), "length", geo.straight("ux", "uy", "vx", "vy").alias("coords"))
     return kept.select(*nodes.columns), add_edges(old, new, by)
 
 
-def nearest_pairs(main: DataFrame, others: DataFrame, by: list[str], first_cell: float = 0.002, max_level: int = 14) -> DataFrame:
+def nearest_pairs(main: DataFrame, others: DataFrame, by: list[str], first_cell: float = 0.002) -> DataFrame:
     """For every component of ``others`` the shortest pair (u in ``main``, v in it) with its length and points.
 
     Pairs are looked up in grid cells and the eight around them.  A component is settled at the first cell
     width that finds it a pair no longer than the cell is wide (in metres of its narrower side), since
-    everything as near is then among the candidates; the width doubles for the rest.
+    everything as near is then among the candidates; the width doubles for the rest.  What no cell of up
+    to 20 degrees settles is held against all of ``main``.
     """
     others = others.select(*by, "component", F.col("node_id").alias("v"), F.col("lon").alias("vx"), F.col("lat").alias("vy"))
     main = main.select(*by, F.col("node_id").alias("u"), F.col("lon").alias("ux"), F.col("lat").alias("uy"))
     done: DataFrame | None = None
     left = others
-    for level in range(max_level):
+    for level in count():
         w = first_cell * 2**level
         last = w > 20
-        a = main.withColumn("cx", F.floor(F.col("ux") / w)).withColumn("cy", F.floor(F.col("uy") / w))
-        around = F.sequence(F.lit(-1), F.lit(1))
-        b = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        b = b.withColumn("cx", F.floor(F.col("vx") / w) + F.col("dx")).withColumn("cy", F.floor(F.col("vy") / w) + F.col("dy"))
-        pair = geo.with_geodesic(b.join(a, [*by, "cx", "cy"]), "ux", "uy", "vx", "vy", "length")
+        if last:
+            both = left.join(main, by) if by else left.crossJoin(main)
+        else:
+            a = main.withColumn("cx", F.floor(F.col("ux") / w)).withColumn("cy", F.floor(F.col("uy") / w))
+            around = F.sequence(F.lit(-1), F.lit(1))
+            b = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+            b = b.withColumn("cx", F.floor(F.col("vx") / w) + F.col("dx")).withColumn("cy", F.floor(F.col("vy") / w) + F.col("dy"))
+            both = b.join(a, [*by, "cx", "cy"])
+        pair = geo.with_geodesic(both, "ux", "uy", "vx", "vy", "length")
         best = pair.groupBy(*by, "component").agg(F.min(F.struct("length", "u", "v", "ux", "uy", "vx", "vy")).alias("p"))
         safe = F.lit(w * 110_000.0) * F.cos(F.radians(F.greatest(F.abs("p.uy"), F.abs("p.vy"))))
         got = cut(best.where(F.lit(True) if last else F.col("p.length") <= safe).select(*by, "component", "p.*"))
