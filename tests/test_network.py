@@ -9,6 +9,7 @@ from voltweave.config import Config, Primary, Secondary, load_config, transforme
 from voltweave.functions import geo
 from voltweave.functions.hull import convex_hull, monotone_chain
 from voltweave.operators import final, graph, mapping, partition, primary, secondary
+from voltweave.plans import queries
 from voltweave.sources import readers, writers
 
 P = "struct<x:double,y:double>"
@@ -282,6 +283,15 @@ def test_feeder_limits_hold():
     assert got == ([0, 1], [0])
 
 
+def test_summary_counts_every_label(spark, monkeypatch):
+    nodes = spark.createDataFrame([("H1", "H"), ("H2", "H"), ("S1", "S"), ("1", "R"), ("T1", "T")], "node_id string, label string")
+    edges = spark.createDataFrame([("a", "feeder"), ("b", "primary"), ("c", "secondary"), ("d", "secondary")], "source string, label string")
+    monkeypatch.setattr(queries, "_final", lambda *_: {"nodes": nodes, "edges": edges})
+    got = {tuple(r) for r in queries.QUERIES["final_summary"](spark, "").collect()}
+    assert got == {("node", "H", 2), ("node", "S", 1), ("node", "R", 1), ("node", "T", 1), ("edge", "feeder", 1), ("edge", "primary", 1), ("edge", "secondary", 2)}
+    assert "final_summary" not in queries.ORACLE_SQL and "network_summary" in queries.ORACLE_SQL
+
+
 def test_final_network_and_files(spark, tmp_path):
     nodes = spark.createDataFrame([("1", "S1", 0.0, 0.0, "S", 0.0, None), ("1", "9", 0.0, 1.0, "R", 0.0, 5.0), ("1", "T5", 1.0, 1.0, "T", 2.0, None)], "sub_id string, node_id string, lon double, lat double, label string, load double, distance double")
     edges = spark.createDataFrame([("1", "S1", "9", "feeder", 5.0, [(0.0, 0.0), (0.0, 1.0)]), ("1", "9", "T5", "primary", 6.0, [(0.0, 1.0), (1.0, 1.0)])], f"sub_id string, source string, target string, label string, length double, coords array<{P}>")

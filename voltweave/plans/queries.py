@@ -507,6 +507,13 @@ def final_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select 'node' as kind, 'H' as label, count(distinct hid) as n from ({_MAPPED})")
 def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by label of the final network; every mapped home is a node of it."""
+    """The homes among the final network's nodes; every mapped home is one of them."""
     out = _final(spark, sf_dir)
     return final.summary(out["nodes"], out["edges"]).where("kind = 'node' and label = 'H'")
+
+
+@query()
+def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all nodes and edges of the final network by label."""
+    out = _final(spark, sf_dir)
+    return final.summary(out["nodes"], out["edges"])
