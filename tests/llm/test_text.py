@@ -113,26 +113,26 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 3])
-def test_scan_matches_plain_words(spark, max_inline):
+@pytest.mark.parametrize("set_windows", [decontaminate.SET_WINDOWS, 3])
+def test_scan_matches_plain_words(spark, set_windows):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "en", "s", 0), (None, TEXTS[0], "en", "s", 0)]
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = decontaminate.scan(docs, bench, max_inline=max_inline).select("r.doc_id", "n_words", decontaminate.covered(F.col("hits")).alias("n_hit"), "items")
+    out = decontaminate.scan(docs, bench, set_windows=set_windows).select("r.doc_id", "n_words", decontaminate.covered(F.col("hits")).alias("n_hit"), "items")
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(map(str, r["items"]))) for r in out.collect())
     assert got == sorted((str(i), *plain_scan(t, ITEMS)) for i, t, *_ in rows)
-    kept = decontaminate.remove_contaminated(docs.withColumn("w", F.lit(1)), bench, max_inline=max_inline)
+    kept = decontaminate.remove_contaminated(docs.withColumn("w", F.lit(1)), bench, set_windows=set_windows)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t, *_ in rows if not plain_scan(t, ITEMS)[1]) and kept.columns[-1] == "w"
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 3])
-def test_items_with_a_null_id_hit(spark, max_inline):
+@pytest.mark.parametrize("set_windows", [decontaminate.SET_WINDOWS, 3])
+def test_items_with_a_null_id_hit(spark, set_windows):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(TEXTS)]
     items = [(None, ITEMS[0][1]), (None, "Short É item"), (10, ITEMS[4][1])]
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.scan(docs, bench, max_inline=max_inline).select("r.doc_id", decontaminate.covered(F.col("hits")).alias("n_hit"), "items").collect()
+    out = decontaminate.scan(docs, bench, set_windows=set_windows).select("r.doc_id", decontaminate.covered(F.col("hits")).alias("n_hit"), "items").collect()
     want = {i: plain_scan(t, items)[1:] for i, t, *_ in rows}
     assert {r.doc_id: (r.n_hit, [str(x) for x in r["items"]]) for r in out} == {i: (n, [x for x in ids if x != "None"]) for i, (n, ids) in want.items()}
-    kept = decontaminate.remove_contaminated(docs, bench, max_inline=max_inline)
+    kept = decontaminate.remove_contaminated(docs, bench, set_windows=set_windows)
     assert {r.doc_id for r in kept.collect()} == {i for i, (n, _) in want.items() if not n}
 
 
@@ -144,6 +144,50 @@ def test_scan_with_empty_tables(spark):
     assert decontaminate.decontamination_query(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_large_benchmark_and_long_documents(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([4, 7, 60, 90])))) for i in range(400)]
+    items += [(1000 + i, " ".join(rng.choices(vocabulary, k=2000))) for i in range(12)]  # some 40,000 windows in all
+    texts = [" ".join(rng.choices(vocabulary, k=20_000)) for _ in range(4)]
+    for i in (0, 2):  # a passage in a very long text, its middle, and one near the end
+        w = texts[i].split()
+        w[5000:5060], w[19_990:] = words(items[1000 - 1000 + i + 400][1])[100:160], words(items[i + 401][1])[:10]
+        texts[i] = " ".join(w)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, texts[0], "clean words only"])]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    windows = decontaminate.benchmark_windows(bench)
+    assert windows.count() > 20_000
+    grams: dict = {}
+    for key, item in items:
+        x = words(item)
+        n = min(10, len(x))
+        for i in range(len(x) - n + 1):
+            grams.setdefault(tuple(x[i : i + n]), set()).add(key)
+    want = {}
+    for i, t, *_ in rows:
+        w, hit, found = words(t), set(), set()
+        for n in (4, 7, 10):
+            for j in range(len(w) - n + 1):
+                if ids := grams.get(tuple(w[j : j + n])):
+                    hit |= set(range(j, j + n))
+                    found |= ids
+        want[i] = (len(w), len(hit), sorted(found))
+    assert want[0][1] >= 70 and not want[5][1]
+    for size in (decontaminate.SET_WINDOWS, 15_000):  # one set, and several
+        out = decontaminate.scan(docs, bench, set_windows=size)
+        got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in out.select("r.doc_id", "n_words", decontaminate.covered(F.col("hits")).alias("n_hit"), "items").collect()}
+        assert got == want
+        assert {r.doc_id for r in decontaminate.remove_contaminated(docs, bench, set_windows=size).collect()} == {i for i, x in want.items() if not x[1]}
+
+
+def test_text_is_on_no_exploded_row(spark):
+    docs, bench = spark.createDataFrame(ODD, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
+    plan = decontaminate.scan(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "text#" not in above and "source#" not in above
+
+
 def test_digest_sorts_ids_as_text(spark):
     docs = spark.createDataFrame([(1, TEXTS[2], "en", "s", 0)], DOCS)
     r = decontaminate.decontamination_query(docs, spark.createDataFrame(ITEMS + [(2, TEXTS[2])], "item_id long, text string")).first()

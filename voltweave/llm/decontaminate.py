@@ -1,12 +1,13 @@
 """Benchmark decontamination with SQL functions only.
 
 Words of benchmark items and documents are normalised alike.  Windows of
-``WINDOW`` words of the items (the whole item where it is shorter) become a set
-of 64-bit hashes.  Up to ``MAX_INLINE`` of them travel with the plan as a hash
-set that every document row probes on the spot; a larger set is joined, and
-Spark broadcasts it only if it finds it small.  Every hash hit is verified by
-comparing the words.  Document text never moves: only hit windows and one narrow
-row per document are shuffled.
+``WINDOW`` words of the items (the whole item where it is shorter) become hash
+sets of at most ``SET_WINDOWS`` windows, cut by hash range; there is one unless the
+benchmark is very large.  Each set is broadcast as a hash relation.  A document row
+is tokenised once, its windows run as narrow (place, length, hash) entries past the
+set within the task, and a hit is verified there by the words of the window.  The
+text of a document is on no row but its own: only verified hits and one narrow row
+per document are shuffled, whatever the size of the benchmark.
 
 Edge cases: null and wordless texts have no words and no hits; items without
 words are left out; items with a null id hit like others, but there is no id to
@@ -20,86 +21,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Words of a window.
 WINDOW = 10
-#: Distinct window hashes that may travel inside the plan.
-MAX_INLINE = 20_000
+#: Windows of a broadcast set: a hash, the words as text and the item ids, about 200 bytes each, so some 60 MB.
+SET_WINDOWS = 300_000
+#: Digests of contaminated texts that may be broadcast (32 bytes each).
+BROADCAST_DIGESTS = 500_000
 
 
 def words_sql(text: str) -> str:
     """SQL of the array of normalised words of a column: A-Z lower-cased, other letters kept.
 
-    lower() equals the A-Z mapping on ASCII texts and is several times faster there.
+    lower() equals the A-Z mapping on ASCII texts and is several times faster there.  Splitting at what is no
+    word is linear, while extracting all matches is not; it leaves an empty string at either end at most.
     """
-    word = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    gap = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     t = f"coalesce(`{text}`, '')"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return f"regexp_extract_all(if(octet_length({t}) = char_length({t}), lower({t}), translate({t}, '{upper}', '{lower}')), '{word}', 0)"
-
-
-def _let(name: str, value: str, body: str) -> str:
-    """SQL of ``body`` with ``name`` bound to ``value``, which is computed once a row wherever the plan puts the expression."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return f"array_remove(split(if(octet_length({t}) = char_length({t}), lower({t}), translate({t}, '{upper}', '{lower}')), '{gap}', -1), '')"
 
 
 def benchmark_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id", width: int = WINDOW) -> DataFrame:
-    """Distinct (item, n, h, w): item id, words of the window, its hash and its words."""
+    """(n, h, s, ids), one row per distinct window: its number of words, hash, words joined by a space (no word holds one) and sorted item ids."""
     own = benchmark.select(F.col(key).alias("item"), F.expr(words_sql(text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(width))
     own = own.select("item", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("w"))
-    return own.select("item", "n", F.xxhash64("w").alias("h"), "w").distinct()
-
-
-def _windows(n: int) -> str:
-    """SQL of the array of (p, n, h) of all n-word windows of the word array w."""
-    each = f"transform(sequence(1, size(w) - {n - 1}), i -> named_struct('p', i, 'n', {n}, 'h', xxhash64(slice(w, i, {n}))))"
-    return f"if(size(w) >= {n}, {each}, cast(array() as array<struct<p:int,n:int,h:bigint>>))"
+    own = own.select("item", "n", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("s"))
+    return own.groupBy("n", "h", "s").agg(F.array_sort(F.collect_set("item")).alias("ids"))
 
 
-def _literal(h: int) -> str:
-    return f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)"
+def _sets(benchmark: DataFrame, width: int, set_windows: int) -> tuple[list[int], list[DataFrame]]:
+    """Window lengths, at most ``width`` of them, and the sets of windows, none of more than about ``set_windows``; their union is all windows."""
+    windows = settle(benchmark_windows(benchmark, width=width))
+    count = {r.n: r["count"] for r in windows.groupBy("n").count().collect()}
+    k = -(-sum(count.values()) // set_windows)
+    if k <= 1:
+        return sorted(count), [windows] * k
+    return sorted(count), [windows.where(F.pmod("h", F.lit(k)) == i) for i in range(k)]
 
 
-def _candidates(known: dict[int, list[int]]) -> str:
-    """SQL of the array of (p, n, h, w) of the windows of w whose hash is in the set."""
-    found = [f"filter({_windows(n)}, x -> x.h in ({', '.join(map(_literal, hashes))}))" for n, hashes in known.items()]
-    every = f"concat({', '.join(found)})" if len(found) > 1 else found[0]
-    return f"transform({every}, x -> named_struct('p', x.p, 'n', x.n, 'h', x.h, 'w', slice(w, x.p, x.n)))"
+def _hits(rows: DataFrame, lengths: list[int], windows: DataFrame, how: str) -> DataFrame:
+    """``rows`` (with the word array w) joined with the windows of one set that occur in them: place p, length n, and the set's s and ids.
 
-
-def _known(windows: DataFrame, max_inline: int) -> tuple[list[int], dict[int, list[int]] | None]:
-    """Window lengths, of which there are at most ``width``, and the hashes of each unless there are more than ``max_inline``."""
-    widths = sorted(r.n for r in windows.select("n").distinct().collect())
-    rows = windows.select("n", "h").distinct().limit(max_inline + 1).collect()
-    return widths, {n: sorted(r.h for r in rows if r.n == n) for n in widths} if len(rows) <= max_inline else None
+    Exploding places, hashing, probing and comparing make one generated loop, which copies no words.  The words
+    are compared within the probe, by array_contains because an equality would become part of the join's key.
+    """
+    each = rows.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+    each = each.select("*", F.explode_outer(F.expr("if(size(w) >= n, sequence(1, size(w) - n + 1), null)")).alias("p"))
+    each = each.withColumn("h", F.when(F.col("p").isNotNull(), F.xxhash64(F.slice("w", "p", "n"))))
+    match = (each.h == windows.h) & F.expr("array_contains(array(s), array_join(slice(w, p, n), ' '))")
+    # a set is bounded by SET_WINDOWS
+    return each.join(F.broadcast(windows.select("h", "s", "ids")), match, how)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = WINDOW, max_inline: int = MAX_INLINE) -> DataFrame:
-    """For every row: struct ``r`` of the ``keep`` columns, ``n_words``, ``hits`` (sorted array of verified (p, n)) and ``items`` (ids)."""
+def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
+    """For every row: struct ``r`` of the narrow ``keep`` columns, ``n_words``, ``hits`` (sorted array of verified (p, n)) and ``items`` (ids)."""
     keep = ["doc_id"] if keep is None else keep
-    windows = benchmark_windows(benchmark, width=width)
-    widths, known = _known(windows, max_inline)
-    if not widths:
-        found = "cast(array() as array<struct<p:int,n:int,h:bigint,w:array<string>>>)"
-    elif known is not None:
-        found = _candidates(known)
-    else:
-        every = f"concat({', '.join(_windows(n) for n in widths)})" if len(widths) > 1 else _windows(widths[0])
-        found = f"transform({every}, x -> named_struct('p', x.p, 'n', x.n, 'h', x.h, 'w', slice(w, x.p, x.n)))"
+    lengths, sets = _sets(benchmark, width, set_windows)
     # rid numbers the rows of this one scan and only ties a row's own pieces together
-    rows = documents.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("r"),
-        F.expr(_let("w", words_sql(text), f"named_struct('n_words', size(w), 'found', {found})")).alias("s"),
-    ).select("rid", "r", F.col("s.n_words").alias("n_words"), F.explode_outer("s.found").alias("x"))
-    windows = windows.withColumn("matched", F.lit(True))  # an item's id may be null
-    match = (F.col("x.n") == windows.n) & (F.col("x.h") == windows.h) & (F.col("x.w") == windows.w)
-    hits = rows.join(windows, match, "left")
-    if known is None:  # most windows hit nothing: the first one of a row stands for the row
-        hits = hits.where("matched or x is null or x.p = 1")
-    hits = hits.select("rid", "r", "n_words", "item", F.when(F.col("matched"), F.struct(F.col("x.p").alias("p"), F.col("x.n").alias("n"))).alias("hit"))
-    return hits.groupBy("rid").agg(
-        F.first("r").alias("r"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.collect_set("item").alias("items")
+    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("r"), F.expr(words_sql(text)).alias("w"))
+    if not sets:
+        return rows.select("rid", "r", F.size("w").alias("n_words"), F.expr("cast(array() as array<struct<p:int,n:int>>)").alias("hits"), F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>").alias("items"))
+    if len(sets) > 1:  # each set passes over the same tokenised rows
+        rows = settle(rows)
+    found = None
+    for i, windows in enumerate(sets):
+        own = _hits(rows, lengths, windows, "inner" if i else "left")
+        if not i:  # the first window of a row stands for the row
+            own = own.where(F.col("s").isNotNull() | (F.coalesce("p", F.lit(1)) == 1) & (F.col("n") == lengths[0]))
+        own = own.select("rid", F.when(F.lit(i == 0), F.col("r")).alias("r"), F.size("w").alias("n_words"), "ids", F.when(F.col("s").isNotNull(), F.struct("p", "n")).alias("hit"))
+        found = own if found is None else found.unionByName(own)
+    # collect_set leaves out the nulls of rows that hit nothing; equal id lists meet before they are laid open
+    return found.groupBy("rid").agg(
+        F.first("r", ignorenulls=True).alias("r"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items")
     )
 
 
@@ -125,21 +121,30 @@ def decontamination_query(documents: DataFrame, benchmark: DataFrame) -> DataFra
     )
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, max_inline: int = MAX_INLINE) -> DataFrame:
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
+
+
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
     """The documents without those that hold a benchmark window; their columns stay as they are.
 
-    With an inline set this is a filter over the rows and moves nothing; hash hits are
-    verified against the set of window texts, which holds letters, digits and spaces only.
+    Whether a document goes depends on its text alone, so the contaminated texts are found as SHA-256
+    digests and taken out by an anti-join: ids may be null or repeated, and no text is on an exploded row.
     """
-    windows = benchmark_windows(benchmark, width=width)
-    _, known = _known(windows, max_inline)
-    if known is None:
-        return scan(documents, benchmark, text, documents.columns, width, max_inline).where(F.size("hits") == 0).select("r.*")
-    if not known:
+    lengths, sets = _sets(benchmark, width, set_windows)
+    if not sets:
         return documents
-    texts = sorted({r.s for r in windows.select(F.array_join("w", " ").alias("s")).distinct().collect()})
-    dirty = f"exists({_candidates(known)}, x -> array_join(x.w, ' ') in ({', '.join(f"'{s}'" for s in texts)}))"
-    return documents.where(~F.expr(_let("w", words_sql(text), dirty)))
+    rows = documents.select(_digest(text).alias("k"), F.expr(words_sql(text)).alias("w"))
+    found = None
+    for windows in sets:
+        own = _hits(rows, lengths, windows, "inner").select("k")
+        found = own if found is None else found.union(own)
+    dirty = settle(found.distinct())
+    if dirty.count() <= BROADCAST_DIGESTS:
+        dirty = F.broadcast(dirty)
+    names = [f"c{i}" for i in range(len(documents.columns))]  # whatever the columns are called
+    own = documents.select(_digest(text).alias("k"), *(F.col(f"`{c}`").alias(n) for n, c in zip(names, documents.columns, strict=True)))
+    return own.join(dirty, "k", "left_anti").select(*(F.col(n).alias(c) for n, c in zip(names, documents.columns, strict=True)))
 
 
 ORACLE_SQL = r"""
