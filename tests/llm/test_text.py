@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -261,8 +262,58 @@ def test_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_gaussian_keeps_a_constant():
-    assert np.allclose(html_extract.smooth(np.full(7, 3.0)), 3.0) and len(html_extract.smooth(np.array([1.0]))) == 1
+def test_clusters_choose_the_lines(monkeypatch):
+    page = f"<body><nav><a href=1>One</a></nav><div><a href=2>Two</a></div><article><h1>Title</h1>{BODY}</article><footer><p>All rights reserved.</p></footer></body>"
+    whole = "\n".join(["Title", *LONG])
+    assert html_extract.main_text(page) == whole
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_extract, "clusters", lambda ratio, weight: rng.random(len(ratio)) < 0.5)
+    assert len({html_extract.main_text(page) for _ in range(20)} - {whole}) > 10
+    monkeypatch.setattr(html_extract, "clusters", lambda ratio, weight: np.ones(len(ratio), bool))
+    assert html_extract.main_text(page) == "\n".join(["One", "Two", whole, "All rights reserved."])
+
+
+def test_smoothing_and_threshold_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 40):
+        ratio, weight = rng.exponential(20, n) * (rng.random(n) < 0.8), rng.choice([html_extract.BESIDE, 1.0, html_extract.ARTICLE], n)
+        level = []
+        for i in range(n):
+            k = {j: np.exp(-0.5 * (i - j) ** 2) * weight[j] for j in range(n) if abs(i - j) <= 3}
+            level.append(weight[i] * sum(np.log1p(ratio[j]) * v for j, v in k.items()) / sum(k.values()))
+        assert np.allclose(level, weight * html_extract.smooth(np.log1p(ratio), weight))
+        least = max(html_extract.FLOOR, html_extract.SHARE * np.std(level))
+        assert html_extract.clusters(ratio, weight).tolist() == [bool(v >= least and r > 0) for v, r in zip(level, ratio, strict=True)]
+
+
+def test_ratio_alone_on_a_page_without_names():
+    page = f"<body><div><div><a href=1>Home</a> <a href=2>News</a></div><div>{BODY}</div><div><a href=3>Terms</a> <a href=4>Contact</a></div></div></body>"
+    assert html_extract.main_text(page) == "\n".join(LONG)
+
+
+def test_telling_names_inside_an_article():
+    inner = f"<section id='discussion'><p>{LONG[1]}</p></section><p class='legal'>{LONG[2]}</p><ul><li><a href=1>A linked entry</a></li></ul><p>1 &lt; 2</p><p>&amp; <math><mi>x</mi></math></p>"
+    assert html_extract.main_text(f"<body><article><h1>Title</h1><p>{LONG[0]}</p>{inner}</article></body>") == "\n".join(["Title", *LONG[:3], "A linked entry", "1 < 2", "& x"])
+    assert html_extract.main_text(f"<body><article>{BODY}<section class='comments'><p>{LONG[1]}</p></section></article></body>") == "\n".join(LONG)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>one<!-- a > b --><p>two <!-- never closed <p>three", "one\ntwo"), ("<p>one <a href=x <p>two", "one two"), ("<p>one <a href=x two", "one"), ("<p>a < b & c</p>", "a < b & c"), ("<p title='it is \"so\" > x'>one</p>", "one"),
+    ("<title>no</title><textarea><p>no</textarea><p>yes", "yes"), ("<p>one</p><![CDATA[x]]><?php x ?></><p>two", "one\ntwo"), ("<P>one<BR/>two</P >", "one two"), ("<p>it's<p a='b>c'>d", "it's\nd"),
+    ("<style>p{}</style ><p>yes", "yes"), ("<p hidden>no</p><p>yes</p>", "yes"), ("<nav><p>only a menu</p></nav>", ""),
+])
+def test_broken_markup(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<blockquote>", "<ul><li><span>", "<!--", "<a ", "<a href='", "<article>", "<p>a b c", "&", "<", "<!x", "<b>x", "<script>", "<a =", "&#x", "<table><tr><td><li>", "</p>", "<div class=ad>x", "<p x=\"", "<!-- x -->y", "</"])
+def test_time_is_linear(piece):
+    took = []
+    for size in (100_000, 400_000):
+        began = time.perf_counter()
+        html_extract.main_text(piece * (size // len(piece)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
 
 
 def test_documents_of_the_corpus_stay_clean(spark):
