@@ -121,11 +121,71 @@ def test_toxicity_on_held_out_rows(spark):
     assert next(r for r in got if r.doc_id == 1002).score == 0
 
 
+def test_text_ids(spark):
+    rows, labels = corpus(120)
+    kind = "doc_id string, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(f"d{i}", *rest) for i, *rest in rows] + [(None, None, None, None, None)], kind)
+    marks = spark.createDataFrame([(f"d{i}", q, t) for i, q, t in labels], "doc_id string, quality int, toxic int")
+    for got in (quality.quality_query(docs, marks), toxicity.toxicity_query(docs, marks), langid.language_query(docs)):
+        got = got.collect()
+        assert len(got) == 121 and all(r.held_out is None for r in got if r.doc_id is None)
+
+
+def test_the_least_margin_grows_with_the_evidence(spark):
+    rows, _ = corpus()
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    twin = langid.Model(["a", "b"], [model.dicts[0], model.dicts[0]])  # every text is a tie
+    docs = spark.createDataFrame([(i, rows[0][1][:n], "en", "s", 0) for i, n in enumerate((3, 20, 60, 100))] + [(9, rows[0][1] * 20, "en", "s", 0)], DOCS)
+    assert [r.rejected for r in langid.identify(docs, twin).orderBy("doc_id").collect()] == [False] * 4 + [True]
+
+
 def test_toxicity_without_labels(spark):
     got = toxicity.toxicity_query(spark.createDataFrame(ODD, DOCS), spark.createDataFrame([], LABELS)).collect()
     assert len(got) == len(ODD) and all(r.score < 1e-6 for r in got)
 
 
+def test_toxic_dictionary_is_cut_from_toxic_texts():
+    rows, labels = corpus(300)
+    texts, y = [t for _, t, *_ in rows], np.array([t for _, _, t in labels])
+    model = toxicity.fit(texts, y)
+    head = model.toxic[: -len(model.ordinary)].decode()
+    assert model.toxic.endswith(model.ordinary) and all(w in head for w in ("grubfinker", "snotwangler", "blatherskunk"))
+    toxic, ordinary = ([t.lower().encode() for t, c in zip(texts, y, strict=True) if c == want] for want in (1, 0))
+    assert all(any(line in t for t in ordinary) for line in model.ordinary.split(b"\n"))
+    gram, ratio = toxicity.contrast(toxic, [b"other words"] * 50)
+    cut = toxicity.segments(toxic, gram, ratio, 100)
+    assert 0 < len(cut) <= 101 and any(cut.strip().split(b" ")[0] in t for t in toxic)
+
+
+def test_contrast_against_a_plain_count():
+    rng = random.Random(4)
+    toxic = [" ".join(rng.choices(["alpha", "beta", "nasty", "gamma"], k=6)).encode() for _ in range(40)]
+    plain = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=6)).encode() for _ in range(60)]
+    gram, ratio = toxicity.contrast(toxic, plain)
+    got = {int(g).to_bytes(toxicity.GRAM, "little"): v for g, v in zip(gram, ratio, strict=True)}
+    want = {}
+    for g in {t[i : i + 4] for t in toxic for i in range(len(t) - 3)}:
+        a, b = sum(g in t for t in toxic), sum(g in t for t in plain)
+        table = [(a, 40, a + b), (b, 60, a + b), (40 - a, 40, 100 - a - b), (60 - b, 60, 100 - a - b)]
+        value = 2 * sum(o * np.log(o * 100 / (r * c)) for o, r, c in table if o)
+        if value >= toxicity.LEAST_RATIO and a / 40 > b / 60:
+            want[g] = value
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-6 for g in want) and b"nast" in got
+
+
+def test_window_gains_against_a_plain_loop():
+    rows, labels = corpus(200)
+    model = toxicity.fit([t for _, t, *_ in rows], np.array([t for _, _, t in labels]))
+    texts = [t.encode() for _, t, *_ in rows[:12]] + [b"", "Ünïcode é snotwangler".encode()]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row, gain = toxicity.gains(model.coders(), data, off)
+    _, start, end = zdict.windows(data, off, toxicity.WINDOW)
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in data.tobytes())
+    plain, toxic = model.coders()
+    one = [int(plain.lengths(lower[a:b], np.array([0]), np.array([b - a]))[0] - toxic.lengths(lower[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in zip(start, end, strict=True)]
+    assert gain.tolist() == one and gain[row == len(texts) - 1].max() >= 2
+
+
 def test_windows_cover_every_byte():
     texts = [b"", b"one", b"a few words here and there " * 50, b"y" * 5000, b" " * 300]
     data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])

@@ -1,4 +1,5 @@
 import hashlib
+import base64
 import random
 import struct
 import zlib
@@ -114,18 +115,33 @@ def test_packed_rows_hold_every_document(spark):
     for r in packed:
         assert len(r["ids"]) == 256 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_ids"] == 128 - r["pad"] and r["resets"] == r["cu_seqlens"][:-1]
         assert (packing.position_ids(r)[r["resets"]] == 0).all()
-        for d, at, ids in packing.unpack(r):
-            whole.setdefault(d, []).append((at, ids.tolist()))
-    texts = {}
-    for i, t, *_ in rows:
-        if t:
-            texts.setdefault(i, []).append(own.encode_ordinary(t) + [packing.END])
-    for i, many in texts.items():
-        if len(many) == 1:
-            assert sum((ids for _, ids in sorted(whole[i])), []) == many[0]
-        else:
-            assert sum(len(ids) for _, ids in whole[i]) == sum(map(len, many))
-    assert set(whole) == set(texts)
+        for d, row, at, ids in packing.unpack(r):
+            whole.setdefault((str(d), row), []).append((at, ids.tolist()))
+    got = sorted((d, sum((ids for _, ids in sorted(own_)), [])) for (d, _), own_ in whole.items())
+    assert got == sorted((str(i), own.encode_ordinary(t) + [packing.end_id(packing.load_ranks())]) for i, t, *_ in rows if t)
+
+
+def test_large_vocabulary_gets_wide_ids(spark):
+    tokens = [bytes([i]) for i in range(256)] + [bytes([i, j]) for i in range(256) for j in range(256)]
+    ranks = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    docs = spark.createDataFrame([(1, "ÿÿ hello þÿ", "en", "s", 0), (2, "\u00ff\u00fe" * 9, "en", "s", 0)], DOCS)
+    rows = [r.asDict() for r in packing.pack_documents(docs, ranks, seq_len=64).collect()]
+    assert packing.id_type(ranks) == "<u4" and packing.end_id(ranks) == 65_792 and all(len(r["ids"]) == 256 for r in rows)
+    own, got = packing.encoder(ranks), {d: ids.tolist() for r in rows for d, _, _, ids in packing.unpack(r)}
+    assert got == {d: own.encode_ordinary(t) + [65_792] for d, t, *_ in docs.collect()} and max(map(max, got.values())) >= 1 << 16
+
+
+def test_packing_with_a_clashing_column(spark):
+    docs = spark.createDataFrame([(1, "some text", "x", 5)], "doc_id long, text string, k string, r int")
+    assert packing.pack_documents(docs, packing.load_ranks()).count() == 1 and packing.pack_documents(docs.limit(0), packing.load_ranks()).count() == 0
+
+
+def test_broken_audio_files_have_a_status(spark):
+    good = audio.wav(b"\xff" * 100, audio.MULAW)
+    files = [good, good[:30], good[:22], good[:12] + b"fmt \x10\0\0\0", audio.wav(b"\xff" * 10, audio.MULAW, rate=(1 << 32) - 1), b"", None, b"RIFF" + b"\0" * 40]
+    media = spark.createDataFrame([(i, f, i) for i, f in enumerate(files)], "id int, m binary, k int")
+    got = {r.id: (r.status, r.pcm is not None) for r in audio.to_pcm(media, "m", "id").collect()}
+    assert got[0] == ("ok", True) and all(s != "ok" and not made for i, (s, made) in got.items() if i) and len(got) == len(files)
 
 
 def test_long_texts_are_cut_where_the_pattern_splits(monkeypatch):

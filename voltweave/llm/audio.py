@@ -113,6 +113,8 @@ def read_wav(file: bytes) -> tuple[int, int, int, bytes]:
     while at + 8 <= len(file):
         name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
         if name == b"fmt " and size >= 16:
+            if at + 24 > len(file):
+                raise ValueError("cut format chunk")
             head = struct.unpack_from("<HHIIHH", file, at + 8)
         elif name == b"data":
             if head is None:
@@ -148,11 +150,13 @@ def to_pcm(media: DataFrame, column: str, key: str) -> DataFrame:
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "m"):
             made, status = [], []
             for file in b.column("m").to_pylist():
                 try:
                     rate, x = decode(file or b"")
+                    if rate >= 1 << 30:  # four times it must fit 32 bits
+                        raise ValueError("rate out of range")
                     made.append(wav(resample(x).tobytes(), PCM, 2 * rate, 2, 16))
                     status.append("ok")
                 except ValueError as e:

@@ -5,9 +5,9 @@ of its documents; where there are very many, the dictionaries are smaller.  A te
 window of the whole text is compressed under every dictionary, and the language
 with the smallest total wins.  Dictionaries and texts are lower-cased.  The
 margin is the relative gap between the best and the second total.  Texts without
-a letter are rejected, and those of ``EVIDENCE`` bytes or more whose margin is
-under ``min_margin``; a shorter text, for which one byte is a wide margin, keeps
-its best language.
+a letter are rejected, and those with a narrow margin.  The least margin grows with the
+evidence, ``min_margin * (1 - EVIDENCE / bytes)``: next to nothing is asked of a few
+words, for which one byte is a wide margin, and ``min_margin`` of long texts.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; ties go
 to the more frequent language, then to the one that sorts first; without any
@@ -39,7 +39,7 @@ ALL_BYTES, LEAST_BYTES = 64 << 20, 1 << 10
 READY = 64
 #: Bytes of a window.
 WINDOW = 1024
-#: Margin under which the best language is rejected, and the bytes of text from which that holds.
+#: Least margin of long texts, and bytes of text up to which even a tie says nothing.
 MIN_MARGIN, EVIDENCE = 0.003, 200
 
 
@@ -79,7 +79,9 @@ def mix(texts: list[str], size: int) -> bytes:
 
 def train(documents: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES) -> Model:
     """Dictionaries of all languages from a bounded sample of each; they are cut where the sample is, so that only they come to the driver."""
-    rows = documents.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).where(F.col("t").rlike(r"\p{L}"))
+    # no dictionary takes more of a text than its own size, from the middle: so much of it is enough, and bounds what a task holds
+    middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((F.length(text) - dict_bytes) / 2)).cast("int"), F.lit(dict_bytes))
+    rows = documents.select(F.col(key).alias("k"), F.col(lang).alias("lang"), middle.alias("t")).where(F.col("t").rlike(r"\p{L}"))
     counts = class_counts(documents.select(F.col(lang).alias("lang"), F.col(key).alias("k")), "lang", "k")
     size = max(min(dict_bytes, LEAST_BYTES), min(dict_bytes, ALL_BYTES // max(1, len(counts))))
 
@@ -130,8 +132,8 @@ def _identified(documents: DataFrame, model: Model, text: str, keep: list[str],
         coders = m.coders()
         for b in slices(batches, read):
             lang, score, margin = predict(m, coders, b.column(read))
-            long = pc.fill_null(pc.binary_length(b.column(read)), 0).to_numpy(zero_copy_only=False)
-            rejected = np.array([x == UNKNOWN for x in lang], bool) | (margin < min_margin) & (long >= EVIDENCE)
+            size = pc.fill_null(pc.binary_length(b.column(read)), 0).to_numpy(zero_copy_only=False)
+            rejected = np.array([x == UNKNOWN for x in lang], bool) | (margin < min_margin * (1 - EVIDENCE / np.maximum(size, 1)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(margin), pa.array(rejected)], names=[*names, "lang_pred", "score", "margin", "rejected"])
 
     types = dict(frame.dtypes)

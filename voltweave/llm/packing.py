@@ -8,11 +8,11 @@ Packing is done within bounded groups of documents (``GROUP_TOKENS`` ids), so
 that no task ever holds more than one group; a group's last rows may stay open
 and are filled up with ``PAD``.
 
-A packed row holds the ids (little-endian, 16 bits if the vocabulary allows),
-the cumulative segment lengths (0 first, the used length last), the positions
+A packed row holds the ids (little-endian, 16 bits if the vocabulary allows, else
+32), the cumulative segment lengths (0 first, the used length last), the positions
 where a segment starts again from its own beginning, and for every segment the
-document and its offset in it.  Segments of one document come back together by
-(document, offset).
+document, the number of its row in the table and its offset in it.  Segments of one
+document come back together by (row, offset), even if ids repeat or are null.
 
 Edge cases: null and empty texts make no segment; a null document id is kept as
 null; repeated rows are packed like others; a text of any length is only split,
@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SEQ_LEN = 2048
-#: Ids that a task packs together, and the id that ends every document and fills rows up.
+#: Ids that a task packs together.
 GROUP_TOKENS = 2 << 20
-END = PAD = 50_256
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that the ranks file belongs to.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +61,16 @@ def encoder(ranks: bytes):
     return _ENCODERS[name]
 
 
+def end_id(ranks: bytes) -> int:
+    """The id that ends every document and fills rows up: the first one that the ranks leave free."""
+    return encoder(ranks).max_token_value + 1
+
+
+def id_type(ranks: bytes) -> str:
+    """Little-endian type of the stored ids."""
+    return "<u2" if end_id(ranks) < 1 << 16 else "<u4"
+
+
 def parts(text: str) -> list[str]:
     """A long text in parts that each start at a space followed by a letter or digit, where the pattern splits anyway."""
     out, at = [], 0
@@ -134,12 +143,12 @@ def split(size: int, capacity: int) -> list[tuple[int, int]]:
     return [(at, min(capacity, size - at)) for at in range(0, size, capacity)]
 
 
-def pack(ids: list[np.ndarray], capacity: int = SEQ_LEN) -> list[tuple[np.ndarray, list[int], list[int], list[int]]]:
+def pack(ids: list[np.ndarray], pad: int, capacity: int = SEQ_LEN) -> list[tuple[np.ndarray, list[int], list[int], list[int]]]:
     """Packed rows of a group: padded ids, cumulative lengths, document number and offset of each segment."""
     pieces = [(d, at, n) for d, x in enumerate(ids) for at, n in split(len(x), capacity)]
     out = []
     for row in best_fit(np.array([n for _, _, n in pieces], np.int64), capacity):
-        whole = np.full(capacity, PAD, np.int32)
+        whole = np.full(capacity, pad, np.int32)
         ends, docs, offsets = [0], [], []
         for k in row:
             d, at, n = pieces[k]
@@ -152,54 +161,56 @@ def pack(ids: list[np.ndarray], capacity: int = SEQ_LEN) -> list[tuple[np.ndarra
 
 
 def pack_documents(documents: DataFrame, ranks: bytes, text: str = "text", key: str = "doc_id", seq_len: int = SEQ_LEN, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """Packed rows: ``ids`` (binary), ``cu_seqlens`` (array), ``resets`` (array), ``doc_ids`` and ``doc_offsets`` (arrays), ``n_ids``, ``pad``; no shuffle."""
+    """Packed rows: ``ids`` (binary), ``cu_seqlens`` (array), ``resets`` (array), ``doc_ids``, ``doc_rows`` and ``doc_offsets`` (arrays), ``n_ids``, ``pad``; no shuffle."""
     kind = documents.schema[key].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(ranks)  # the size of the ranks file
-    frame = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    schema = f"ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<{kind}>, doc_offsets array<int>, n_ids int, pad int"
+    frame = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("r"))
+    schema = f"ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<{kind}>, doc_rows array<bigint>, doc_offsets array<int>, n_ids int, pad int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
+        own, end, stored = encoder(shared.value), end_id(shared.value), id_type(shared.value)
         keys: list = []
+        numbers: list[int] = []
         group: list[np.ndarray] = []
         held = 0
         key_type = None
 
         def rows() -> pa.RecordBatch:
-            made = pack(group, seq_len)
+            made = pack(group, end, seq_len)
             used = [r[1][-1] for r in made]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0].astype("<u2").tobytes() for r in made], pa.binary()), pa.array([r[1] for r in made], pa.list_(pa.int32())),
+                    pa.array([r[0].astype(stored).tobytes() for r in made], pa.binary()), pa.array([r[1] for r in made], pa.list_(pa.int32())),
                     pa.array([r[1][:-1] for r in made], pa.list_(pa.int32())), pa.array([[keys[d] for d in r[2]] for r in made], pa.list_(key_type)),
-                    pa.array([r[3] for r in made], pa.list_(pa.int32())), pa.array(used, pa.int32()), pa.array([seq_len - u for u in used], pa.int32()),
+                    pa.array([[numbers[d] for d in r[2]] for r in made], pa.list_(pa.int64())), pa.array([r[3] for r in made], pa.list_(pa.int32())), pa.array(used, pa.int32()), pa.array([seq_len - u for u in used], pa.int32()),
                 ],
-                names=["ids", "cu_seqlens", "resets", "doc_ids", "doc_offsets", "n_ids", "pad"],
+                names=["ids", "cu_seqlens", "resets", "doc_ids", "doc_rows", "doc_offsets", "n_ids", "pad"],
             )
 
         for b in slices(batches, "t"):
             key_type = b.column("k").type
-            for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
+            for k, t, r in zip(*(b.column(c).to_pylist() for c in "ktr"), strict=True):
                 if not t:
                     continue
-                x = np.concatenate([*(np.array(own.encode_ordinary(p), np.int32) for p in parts(t)), np.array([END], np.int32)])
+                x = np.concatenate([*(np.array(own.encode_ordinary(p), np.int32) for p in parts(t)), np.array([end], np.int32)])
                 keys.append(k)
+                numbers.append(r)
                 group.append(x)
                 held += len(x)
                 if held >= group_tokens:
                     yield rows()
-                    keys, group, held = [], [], 0
+                    keys, numbers, group, held = [], [], [], 0
         if group:
             yield rows()
 
     return frame.mapInArrow(run, schema)
 
 
-def unpack(row: dict) -> list[tuple[object, int, np.ndarray]]:
-    """(document id, offset, ids) of the segments of a packed row."""
-    ids = np.frombuffer(row["ids"], "<u2")
+def unpack(row: dict) -> list[tuple[object, int, int, np.ndarray]]:
+    """(document id, row number, offset, ids) of the segments of a packed row."""
     ends = row["cu_seqlens"]
-    return [(d, at, ids[a:b]) for d, at, a, b in zip(row["doc_ids"], row["doc_offsets"], ends, ends[1:], strict=False)]
+    ids = np.frombuffer(row["ids"], "<u2" if len(row["ids"]) == 2 * (ends[-1] + row["pad"]) else "<u4")
+    return [(d, r, at, ids[a:b]) for d, r, at, a, b in zip(row["doc_ids"], row["doc_rows"], row["doc_offsets"], ends, ends[1:], strict=False)]
 
 
 def position_ids(row: dict) -> np.ndarray:

@@ -129,7 +129,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_c
     some = bounded_sample(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")), "y", "k", per_class)
     # the sample is bounded by per_class ids of two classes, so it may be broadcast
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k").select("k", "y", "t")
-    got = rows.mapInArrow(_feature_batches(["k", "y"], "t"), "k bigint, y int, x array<double>").toPandas().sort_values(["k", "y"])
+    got = rows.mapInArrow(_feature_batches(["k", "y"], "t"), f"k {rows.schema['k'].dataType.simpleString()}, y int, x array<double>").toPandas().sort_values(["k", "y"])
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, _width()))
     return fit(x, got["y"].to_numpy())
 
