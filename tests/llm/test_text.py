@@ -71,6 +71,85 @@ def test_candidates_add_what_stands_side_by_side(spark):
     assert digest(base(rows[-1][1])) == "" and got[900] == "phone:5:22,card:23:39"
 
 
+def spelt(rng, kind):
+    """A random value of a kind and disguised forms of it."""
+    if kind == "email":
+        a, b = f"user{rng.randrange(99)}.x", f"mail{rng.randrange(9)}.example.com"
+        return f"{a}@{b}", [f"{a} [at] {b}", f"{a}(at){b}", f"{a.replace('.', ' dot ')} at {b.replace('.', ' dot ')}", f"{a} (at) {b.replace('.', ' (dot) ')}"]
+    if kind == "ip":
+        p = [str(rng.randrange(256)) for _ in range(4)]
+        return ".".join(p), ["[.]".join(p), " . ".join(p), "[dot]".join(p)]
+    if kind == "card":
+        d = "".join(str(rng.randrange(10)) for _ in range(15))
+        d += next(str(c) for c in range(10) if luhn(d + str(c)))
+        return d, [sign.join(d[i : i + 4] for i in range(0, 16, 4)) for sign in (".", "/", "_")]
+    a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+    return f"+1 ({a}) {b}-{c}", [f"1 ({a}) {b}-{c}", f"001 ({a}) {b}-{c}", f"1.{a}.{b}.{c}", f"1-{a}-{b}-{c}"]
+
+
+def test_disguised_data_is_found_and_other_numbers_are_left(spark):
+    rng = random.Random(8)
+    lead = ["they said that", "we all went to", "and then a", "in the morning", "look at"]
+    rows, want = [], {}
+    for i in range(1600):
+        kind = ("email", "ip", "card", "phone")[i % 4]
+        rows.append((i, f"{rng.choice(lead)} {spelt(rng, kind)[0]} {rng.choice(['now', 'and so on', 'was here'])}", "en", "s", 0))
+    for i in range(2000, 2400):
+        kind = ("email", "ip", "card", "phone")[i % 4]
+        x = rng.choice(spelt(rng, kind)[1])
+        text = f"{rng.choice(['someone wrote', 'it reads', 'we found'])} {x} {rng.choice(['today', 'again'])}"
+        at = text.index(x)
+        rows.append((i, text, "en", "s", 0))
+        want[i] = f"{kind}:{at}:{at + len(x)}"
+    for i in range(3000, 3200):
+        d = spelt(rng, "card")[0]
+        other = [f"order {rng.randrange(10**9, 10**10)}", "version 1.20.3", f"see page {rng.randrange(999)} of 1.999.3.777", f"the sum is {d[:-1]}{(int(d[-1]) + 1) % 10}", "at noon we dot the i", "12 34 56", "section 3.2.1 and 4.5"][i % 7]
+        rows.append((i, f"clean {other} text", "en", "s", 0))
+    for i in range(3500, 3600):
+        rows.append((i, f'and {rng.choice(["token", "api_key", "password"])} = "{rng.randbytes(16).hex()}" here' if i < 3580 else "a longwordwithoutanydigitsinit and pathological/sequences/of-words", "en", "s", 0))
+    got = {r.doc_id: r for r in pii.pii_query(spark.createDataFrame(rows, DOCS)).collect()}
+    found = {k: np.mean([want[i] in got[i].spans.split(",") for i in want if want[i].startswith(k)]) for k in ("email", "ip", "card", "phone")}
+    assert min(found.values()) >= 0.9, found
+    false = [(r[1], got[r[0]].spans) for r in rows if (3000 <= r[0] < 3200 or r[0] >= 3580) and got[r[0]].n_spans]
+    assert len(false) <= 6, false
+    assert np.mean([got[i].spans.startswith("secret:") for i in range(3500, 3580)]) >= 0.9
+
+
+def test_trees_in_sql_equal_the_trees(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (300, len(pii.FEATURES)))
+    true, false = rng.integers(0, 9, 300) * (x[:, 2] > 2), rng.integers(0, 9, 300) * (x[:, 4] < 5)
+    model = pii.fit(x, rng.integers(0, 4, 300), true, false, true, false)
+    assert len(model.trees) == pii.ROUNDS and any(not isinstance(t, float) for t in model.trees)
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i int, f array<int>").select("i", F.expr(model.sql("f")).alias("s")).orderBy("i").collect()
+    assert np.allclose([r.s for r in got], model.bias + sum(pii._apply(t, x) for t in model.trees))
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = "".join(f"4111 1111 1111 1111, a{i}@b.cd; +1 (499) 555-{i % 10000:04} 10.0.0.{i % 256} x{i} [at] y.de " for i in range(11_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS).repartition(1)
+    model = pii.Model([], 1.0, {r: 0.5 for r in range(4)})  # adds every candidate that overlaps nothing
+    began = time.perf_counter()
+    f = docs.select(F.expr(pii._found(model, "text")).alias("f")).select(F.size("f.base").alias("base"), F.size("f.spans").alias("spans")).first()
+    out = pii.redact(docs, model).first()
+    assert f.base == 33_000 and f.spans == 55_000  # the phone pattern runs into the address
+    assert time.perf_counter() - began < 120
+    assert out.text == "".join(f"<CARD>, <EMAIL>; <PHONE> <IP> <EMAIL> " for i in range(11_000)) and out.n_chars == len(out.text)
+
+
+def test_redaction_against_a_plain_cut(spark):
+    rng = random.Random(6)
+    rows = [(i, "é" * rng.randrange(4090, 4100) + t, "en", "s", 0) for i, t, *_ in personal(9, 60)] + [(900, "a.b" * 3000 + "@c.de x", "en", "s", 0), (901, "x 1.2.3.4@b.co +1 (499) 555-6503", "en", "s", 0)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, DOCS), pii.Model()).collect()}
+    for i, t, *_ in rows:
+        at, out = 0, ""
+        for s, k, e in base(t):
+            if e > at:
+                out += t[at:s] + ("" if s < at else f"<{pii.KINDS[k].upper()}>")
+                at = e
+        assert got[i] == out + t[at:]
+
+
 def test_redaction(spark):
     rows = [(1, "mail a.b@c.de or 1.2.3.4!", "en", "s", 25), (2, None, "en", "s", None), (3, "clean", "en", "s", 5), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("t", F.lit(1)).withColumn("f", F.lit("x"))
