@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import numpy as np
@@ -119,6 +120,53 @@ def test_clashing_ids_lose_no_component(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t, _ in (rows[0], rows[1], rows[2], rows[4], rows[6]))
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(rng, text, share):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) if rng.random() < share else w for w in text.split())
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(2500)]
+    own = [" ".join(rng.choices(vocabulary, k=rng.randint(80, 400))) for _ in range(300)]
+    rows = [(i, t, "") for i, t in enumerate(own)]
+    near, far = [], []
+    for i, t in enumerate(own[:200]):
+        x = edited(rng, t, rng.choice([0.005, 0.01, 0.015, 0.1]))
+        (near if jaccard(t, x) >= 0.8 else far if jaccard(t, x) < 0.6 else []).append(1000 + i)
+        rows.append((1000 + i, x, ""))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got >= set(range(300)) and len(near) > 90 and len(far) > 30
+    assert np.mean([i not in got for i in near]) >= 0.9 and np.mean([i in got for i in far]) >= 0.95
+
+
+def test_confirmed_links_against_all_pairs():
+    rng = np.random.default_rng(7)
+    fp = np.repeat(families(9, 200, 10, 4), 2)
+    base = rng.integers(0, 2**64, (3, 4), dtype=np.uint64)
+    wide = base[rng.integers(0, 3, len(fp))] ^ (np.uint64(1) << rng.integers(0, 64, (len(fp), 4)).astype(np.uint64))
+    node = np.arange(len(fp))
+    a, b = simhash.group_links(np.zeros(len(fp), np.int64), fp, 7, node, wide)
+    parent = list(range(len(fp)))
+
+    def find(parent, x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for p, q in zip(a.tolist(), b.tolist(), strict=True):
+        parent[max(find(parent, p), find(parent, q))] = min(find(parent, p), find(parent, q))
+    plain = list(range(len(fp)))
+    for i, j in combinations(range(len(fp)), 2):
+        if int(fp[i] ^ fp[j]).bit_count() <= 7 and sum(int(v).bit_count() for v in wide[i] ^ wide[j]) <= simhash.WIDE_LIMIT:
+            plain[max(find(plain, i), find(plain, j))] = min(find(plain, i), find(plain, j))
+    assert [find(parent, i) for i in node] == [find(plain, i) for i in node] and 1 < len({find(plain, i) for i in node}) < len(fp)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_query(docs).count() == 0

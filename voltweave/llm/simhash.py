@@ -17,6 +17,14 @@ above it is accepted with its group, and a group that already shares the query's
 component is skipped.  A unit reports one link per fingerprint to a
 representative, never all pairs.
 
+``keep_one`` removes near-duplicates, texts whose five-word shingles have a similarity
+of about 0.8 or more.  Their 64-bit fingerprints of shingles often differ in ten bits or
+more, too many for an index.  So its fingerprints are taken over distinct words, of
+which an edit changes one where it changes five shingles; texts within
+``NEAR_RADIUS`` bits are candidates, and a candidate is a link if the wide signatures
+(``WIDE`` bits over five-word shingles) differ in ``WIDE_LIMIT`` bits at most, which is
+checked at the leaves of the same index.  Unlike an exact count this is an estimate.
+
 Edge cases: null counts as empty; texts without words have fingerprint zero and
 are linked like others; rows with a null id get a fingerprint and the smallest
 non-null id of their component (null if there is none); repeated rows and ids
@@ -43,6 +51,9 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET_ROWS = 2048
 #: Fingerprints that a task indexes at once, and (query, node) pairs that it holds at once.
 UNIT_ROWS, FRONTIER = 1 << 15, 1 << 20
+#: For near-duplicates: differing bits of candidates, words of a shingle, and bits and greatest difference of the signature that
+#: confirms them (at a similarity of 0.8 the mean is 39 bits with a deviation of 6, at 0.7 it is 49, and 128 for unrelated texts).
+NEAR_RADIUS, NEAR_SHINGLE, WIDE, WIDE_LIMIT = 7, 5, 256, 44
 #: Members of a lowest group, and groups of a higher one.
 FAN = 8
 
@@ -81,6 +92,45 @@ def fingerprint_documents(documents: DataFrame, text: str = "text", key: str = "
     return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)
 
 
+def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For near-duplicates: uint64 fingerprints over distinct words, and (n, ``WIDE`` / 64) uint64 signatures over five-word shingles."""
+    raw, hash64, hash128 = data.tobytes(), xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
+    n = len(offsets) - 1
+    fp, wide = np.zeros(n, np.uint64), np.zeros((n, WIDE // 64), np.uint64)
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        words = raw[a:b].lower().split()
+        if not words:
+            continue
+        own = list(set(words))
+        ones = np.zeros(64, np.int64)
+        for j in range(0, len(own), 4096):
+            h = np.array([hash64(w, SEED) for w in own[j : j + 4096]], np.uint64)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fp[i] = weights[2 * ones > len(own)].sum(dtype=np.uint64)
+        many = max(1, len(words) - NEAR_SHINGLE + 1)
+        ones = np.zeros(WIDE, np.int64)
+        for j in range(0, many, 4096):
+            grams = [b" ".join(words[k : k + NEAR_SHINGLE]) for k in range(j, min(many, j + 4096))]
+            h = np.frombuffer(b"".join(hash128(g, k) for g in grams for k in range(WIDE // 128)), np.uint8)
+            ones += np.unpackbits(h.reshape(len(grams), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        wide[i] = np.packbits(2 * ones > many, bitorder="little").view(np.uint64)
+    return fp, wide
+
+
+def sign_documents(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``node`` (hash of both signatures), ``fp`` and ``wide`` (binary) of every row; no shuffle."""
+    kind = T.StructType([T.StructField("k", documents.schema[key].dataType), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            fp, wide = signatures(*buffers(b.column("t")))
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(fp.view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary())], names=["k", "fp", "wide"])
+
+    out = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, kind)
+    return out.select(F.col("k").alias(key), F.xxhash64("fp", "wide").alias("node"), "fp", "wide")
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each 64-bit code in Gray order."""
     x = x.copy()
@@ -128,8 +178,8 @@ class Index:
             self.levels.append((lo, hi, start, end, ones | zeros, ones))
         self.root = np.repeat(np.arange(len(lo)), hi - lo)  # of each leaf
 
-    def components(self, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-        """Component label (smallest position) of each leaf under links of at most ``radius`` bits."""
+    def components(self, fp: np.ndarray, radius: int = RADIUS, wide: np.ndarray | None = None) -> np.ndarray:
+        """Component label (smallest position) of each leaf under links of at most ``radius`` bits, which the wide signatures, if given, confirm."""
         label = np.arange(self.n)
         top = len(self.levels) - 1
         reach = np.cumsum((self.levels[top][1] - self.levels[top][0])[self.root]) if self.n else np.zeros(0)
@@ -156,6 +206,11 @@ class Index:
                 keep = acc <= radius
                 q, node, known, acc = q[keep], node[keep], known[keep], acc[keep]
                 whole = acc + 64 - np.bitwise_count(known) <= radius
+                if wide is not None and k:
+                    whole[:] = False  # only leaves can be confirmed
+                elif wide is not None:
+                    sure = np.bitwise_count(wide[q] ^ wide[lo[node]]).sum(axis=1, dtype=np.int64) <= WIDE_LIMIT
+                    q, node, known, acc, whole = q[sure], node[sure], known[sure], acc[sure], whole[sure]
                 if whole.any():  # every member of the group is near enough
                     links_a.append(q[whole])
                     links_b.append(lo[node[whole]])
@@ -178,18 +233,23 @@ class Index:
         return label
 
 
-def group_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, representative of its component) within each group of rows."""
+def group_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, node: np.ndarray | None = None, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, representative of its component) within each group of rows; a row's node is its fingerprint unless given."""
+    node = fp if node is None else node
     order = np.lexsort((gray_rank(fp), group))
-    group, fp = group[order], fp[order]
-    label = Index(group, fp).components(fp, radius)
+    group, fp, node = group[order], fp[order], node[order]
+    label = Index(group, fp).components(fp, radius, None if wide is None else wide[order])
     own = np.flatnonzero(label != np.arange(len(label)))
-    return fp[own], fp[label[own]]
+    return node[own], node[label[own]]
+
+
+#: Fingerprints that a bucket holds on average at most, before a key joins another block.
+BUCKET_MEAN = 2048
 
 
 def blocks(distinct: int, radius: int = RADIUS) -> tuple[int, int]:
     """(blocks, blocks that a key joins): radius + joined blocks, so that some key survives any ``radius`` changes.  More fingerprints get longer keys, so that buckets stay small; the links found are the same."""
-    joined = 1 if distinct <= 1 << 22 else 2 if distinct <= 1 << 29 else 4
+    joined = next((j for j in (1, 2, 3) if distinct <= BUCKET_MEAN * 2.0 ** (64 * j / (radius + j))), 4)
     return radius + joined, joined
 
 
@@ -205,38 +265,48 @@ def _keys(fp: Column, n: int, joined: int) -> Column:
 
 
 def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b), a > b, between distinct fingerprints ``fp``; their components are those of all pairs within ``radius``."""
+    """Links (a, b), a > b, between distinct fingerprints ``fp``; their components are those of all pairs within ``radius``.
+
+    With columns ``node`` and ``wide`` links are between nodes, and those of confirmed pairs only.
+    """
     n, joined = blocks(distinct.count(), radius)
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), n, joined)).alias("key"))
+    sure = "wide" in distinct.columns
+    columns = ["fp", "node", "wide"] if sure else ["fp"]
+    keyed = distinct.select(*columns, F.explode(_keys(F.col("fp"), n, joined)).alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     units = keyed.join(size, "key")
     chunks = F.ceil(F.col("m") / bucket_rows).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
+    mine = F.pmod(F.xxhash64(columns[-1], F.lit(7)), chunks).cast("int")
     units = (
         units.withColumn("c", chunks).withColumn("i", mine)
         # with one chunk a unit is the bucket; else a chunk meets every other one
         .withColumn("j", F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda j: j != F.col("i")))))
-        .select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "fp")
+        .select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), *columns)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(unit: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = group_links(unit, fp.view(np.uint64), radius)
+        def links(held: list[np.ndarray]) -> pa.RecordBatch:
+            unit, fp, *more = held
+            a, b = group_links(unit, fp.view(np.uint64), radius, *(x.view(np.uint64) if x.ndim > 1 else x for x in more))
             a, b = a.view(np.int64), b.view(np.int64)
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        unit, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            unit = np.concatenate([unit, batch.column("unit").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy()])
-            if len(unit) >= UNIT_ROWS:
-                at = int(np.searchsorted(unit, unit[-1]))  # units come sorted; the last may go on
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy() for c in ("unit", "fp", "node")[: 3 if sure else 2]]
+            if sure:
+                own.append(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            held = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
+            if len(held[0]) >= UNIT_ROWS:
+                at = int(np.searchsorted(held[0], held[0][-1]))  # units come sorted; the last may go on
                 if at:
-                    yield links(unit[:at], fp[:at])
-                    unit, fp = unit[at:], fp[at:]
-        if len(unit):
-            yield links(unit, fp)
+                    yield links([x[:at] for x in held])
+                    held = [x[at:] for x in held]
+        if held:
+            yield links(held)
 
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -270,22 +340,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def _grouped(documents: DataFrame, text: str, key: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(``key``, ``fp``) of every row; (``fp``, ``root``, ``component_id``) of every fingerprint, root the smallest of its component."""
-    prints = cut(fingerprint_documents(documents, text, key, shingle))
-    own = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    root = components(link_fingerprints(own.select("fp"), radius))
-    linked = own.join(root, own.fp == root.node)
+def _grouped(documents: DataFrame, text: str, key: str, radius: int, shingle: int | None) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``node``) of every row; (``node``, ``root``, ``component_id``) of every node, root the smallest of its component.
+
+    A node is a fingerprint over shingles or, without ``shingle``, the pair of signatures of near-duplicates.
+    """
+    if shingle:
+        prints = cut(fingerprint_documents(documents, text, key, shingle).withColumnRenamed("fp", "node"))
+        own = cut(prints.groupBy("node").agg(F.min(key).alias("least")))
+        links = link_fingerprints(own.select(F.col("node").alias("fp")), radius)
+    else:
+        prints = cut(sign_documents(documents, text, key))
+        own = cut(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide")))
+        links = link_fingerprints(own.select("node", "fp", "wide"), radius)
+    root = components(links).withColumnRenamed("node", "linked")
+    linked = own.join(root, own.node == root.linked)
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(smallest, "root").select("fp", "root", "component_id")
-    each = own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints, cut(each)
+    linked = linked.join(smallest, "root").select("node", "root", "component_id")
+    each = own.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints.select(key, "node"), cut(each)
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (smallest key of the component) of every row."""
     prints, each = _grouped(documents, text, key, radius, shingle)
-    return prints.join(each, "fp").select(key, "fp", "component_id")
+    return prints.join(each, "node").select(key, F.col("node").alias("fp"), "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -304,17 +383,17 @@ def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
     Of several rows of a component with that id the one with the smallest text stays, whatever rows of other
     components have the id too.  A row with a null id stays only if its whole component has no id.
     """
-    prints, each = _grouped(documents, text, key, RADIUS, SHINGLE)
+    prints, each = _grouped(documents, text, key, NEAR_RADIUS, None)
     first = F.col(key).eqNullSafe(F.col("component_id"))
-    found = prints.join(each, "fp").groupBy(key).agg(F.count("*").alias("rows"), F.max(first).alias("first"))
+    found = prints.join(each, "node").groupBy(key).agg(F.count("*").alias("rows"), F.max(first).alias("first"))
     ids = cut(found.where("first"))
     alone = ids.where((F.col("rows") == 1) & F.col(key).isNotNull()).select(key)
     kept = documents.join(alone, key, "left_semi").select(*documents.columns)
-    # ids of several rows, and the null id, do not tell the rows apart: these are decided by their fingerprints
+    # ids of several rows, and the null id, do not tell the rows apart: these are decided by their signatures
     many = ids.where((F.col("rows") > 1) | F.col(key).isNull()).select(F.col(key).alias("id"))
     if many.limit(1).count():
         rows = documents.join(many, F.col(key).eqNullSafe(F.col("id")), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("r"), F.col(text).alias("t"))
-        rows = fingerprint_documents(rows, "t", "r").join(each, "fp").where(F.col("r")[key].eqNullSafe(F.col("component_id")))
+        rows = sign_documents(rows, "t", "r").join(each, "node").where(F.col("r")[key].eqNullSafe(F.col("component_id")))
         one = rows.groupBy("root").agg(F.min_by("r", F.struct(F.col("r")[text])).alias("r"))
         kept = kept.unionByName(one.select("r.*"))
     return kept
