@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voltweave.llm import decontaminate, langid, pieces, pii, simhash
-from voltweave.llm.common import cut, table
+from voltweave.llm.common import settle, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that with the smallest id."""
+    """One document of each group of near-duplicates (five-word similarity of about 0.8 or more), that with the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -49,10 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; what a stage keeps is checkpointed, so that none runs twice."""
+    """All stages over the whole table; what a stage keeps is written to the shared folder as Parquet and read again, so that none runs twice."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = settle(docs)
     return docs
