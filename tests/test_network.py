@@ -346,3 +346,83 @@ def test_wkt_and_points(spark):
     got = df.select(geo.from_wkt(F.col("w")).alias("p"), geo.parse_point(F.col("c")).alias("q")).collect()
     assert [tuple(x) for x in got[0].p] == [(0.0, 1.0), (2.5, -3e-5)] and got[1].p is None and got[2].p is None and got[3].p is None
     assert tuple(got[0].q) == (1.0, 2.5) and got[1].q is None and tuple(got[3].q) == (3.0, 4.0)
+
+
+def test_roads_within_the_hull(spark):
+    homes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (4, 0), (4, 4), (0, 4)])], "hid long, lon double, lat double")
+    nodes = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 2.0), (3, 4.0, 2.0), (4, 5.0, 5.0)], "node_id long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 0, None, 9.0, "a"), (2, 3, 0, None, 9.0, "a"), (3, 4, 0, None, 9.0, "a")], "u long, v long, key int, coords array<struct<x:double,y:double>>, length double, highway string")
+    inside, kept = readers.clip_roads(nodes, edges, homes)
+    assert sorted(r.node_id for r in inside.collect()) == [1, 2]
+    assert [(r.u, r.v, [tuple(p) for p in r.coords]) for r in kept.collect()] == [(1, 2, [(1.0, 1.0), (2.0, 2.0)])]
+    with pytest.raises(ValueError):
+        readers.clip_roads(nodes, edges.where("u = 3"), homes)
+
+
+def test_secondary_and_network_files(spark, tmp_path):
+    t = spark.createDataFrame([("T51", -77.0, 38.0, 12.5)], "transformer_id string, lon double, lat double, load double")
+    e = spark.createDataFrame([("T51", "1", 10.0, 7, 8, 0), ("1", "2", 11.5, 7, 8, 0)], "from_node string, to_node string, length double, u long, v long, key int")
+    writers.write_secondary(t, e, str(tmp_path / "t"), str(tmp_path / "s"))
+    assert [tuple(r) for r in readers.read_transformers(spark, str(tmp_path / "t")).collect()] == [("T51", -77.0, 38.0, 12.5)]
+    back = readers.read_secondary(spark, str(tmp_path / "s"))
+    assert back.columns == ["from_node", "to_node", "length", "road_start", "road_end", "road_edge_key"]
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in e.collect())
+    nodes = spark.createDataFrame([("1", 0.0, 0.0, 0.0, "R"), ("T51", 1.0, 1.0, 12.5, "T")], "node_id string, lon double, lat double, load double, label string")
+    edges = spark.createDataFrame([("1", "T51", 0, "road", 5.0, [(0.0, 0.0), (0.5, 0.7), (1.0, 1.0)]), ("T51", "1", 1, None, 6.0, None)], "u string, v string, key int, highway string, length double, coords array<struct<x:double,y:double>>")
+    writers.write_network(nodes, edges, str(tmp_path / "n"), str(tmp_path / "e"))
+    n, g = readers.read_network(spark, str(tmp_path / "n"), str(tmp_path / "e"))
+    assert sorted(tuple(r) for r in n.collect()) == sorted(tuple(r) for r in nodes.collect())
+    got = {r.key: (r.u, r.v, r.highway, r.length, [tuple(p) for p in r.coords]) for r in g.collect()}
+    assert got == {0: ("1", "T51", "road", 5.0, [(0.0, 0.0), (0.5, 0.7), (1.0, 1.0)]), 1: ("T51", "1", None, 6.0, [(1.0, 1.0), (0.0, 0.0)])}
+
+
+def test_a_lost_transformer_is_refused(spark, tmp_path):
+    from voltweave.operators.primary import check_trees
+
+    nodes = spark.createDataFrame([("5", "S5"), ("5", "1"), ("5", "T1")], "sub_id string, node_id string")
+    edges = spark.createDataFrame([("5", "S5", "1"), ("5", "1", "T1")], "sub_id string, source string, target string")
+    wanted = spark.createDataFrame([("5", "T1")], "sub_id string, node_id string")
+    check_trees(nodes, edges, wanted)
+    with pytest.raises(ValueError, match="T2"):
+        check_trees(nodes, edges, wanted.union(spark.createDataFrame([("5", "T2")], wanted.schema)))
+
+
+def test_box_union_and_pairs(spark):
+    from voltweave.functions.hull import bounding_box
+
+    points = spark.createDataFrame([(1.0, 2.0), (3.0, -1.0)], "lon double, lat double")
+    assert tuple(bounding_box(points, 0.5).first()) == (0.5, -1.5, 3.5, 2.5, 2) and bounding_box(points.limit(0)).first().lon_min is None
+    old = spark.createDataFrame([("a", "b", 0, 1.0), ("b", "c", 0, 2.0)], "u string, v string, key int, length double")
+    new = spark.createDataFrame([("b", "a", 0, 9.0), ("a", "b", 1, 3.0)], "u string, v string, key int, length double")
+    assert sorted(tuple(r) for r in graph.union_edges(old, new).collect()) == [("a", "b", 0, 9.0, 2), ("a", "b", 1, 3.0, 1), ("b", "c", 0, 2.0, 1)]
+    sides = spark.createDataFrame([(1, 2, 0, i, 0.001 * i, 0.0, 1) for i in range(11)] + [(3, 4, 0, 20 + i, 0.001 * i, 0.0, 1) for i in range(10)], "u long, v long, key int, hid long, lon double, lat double, side int")
+    pairs = secondary.home_pairs(sides, 0.5)
+    assert pairs.count() == 45 and pairs.where("u = 1").count() == 0  # a link of eleven homes has none
+
+
+def test_command_line_builds_a_region_from_files(spark, tmp_path):
+    from voltweave.__main__ import main
+    from voltweave.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    folder = {n: f"{tmp_path}/{n}/" for n in ("load", "logs", "interim", "mapping", "secnet", "primnet")}
+    (tmp_path / "load").mkdir()
+    homes = fixtures.homes(spark, sf).orderBy("hid").collect()
+    head = "hid,longitude,latitude," + ",".join(f"hour{i}" for i in range(1, 25))
+    (tmp_path / "load" / "7-home-load.csv").write_text("\n".join([head, *(",".join(map(str, [r.hid, r.lon, r.lat, *r.profile])) for r in homes)]) + "\n")
+    subs = fixtures.substations(spark, sf).collect()
+    (tmp_path / "subs.csv").write_text("\n".join(["ID,X,Y", *(f"{r.sub_id},{r.lon},{r.lat}" for r in subs)]) + "\n")
+    nodes, edges = fixtures.roads(spark, sf)
+    writers.write_roads(nodes, edges, f"{folder['interim']}7_road_nodes.csv", f"{folder['interim']}7_road_edges.csv")
+    (tmp_path / "c.yaml").write_text(
+        f"state: 51\nmin_cell_nodes: 25\ninputs:\n  home_csv_dir: {folder['load']}\n  substation_csv: {tmp_path}/subs.csv\nmiscellaneous:\n  log_dir: {folder['logs']}\n"
+        f"  intermediate_dir: {folder['interim']}\n  mapping_dir: {folder['mapping']}\nsecnet:\n  out_dir: {folder['secnet']}\nprimnet:\n  out_dir: {folder['primnet']}\nfigures:\n  directory: {tmp_path}/figs\n"
+    )
+    main(["-c", f"{tmp_path}/c.yaml", "-r", "7", "-p"])
+    assert "all stages done" in (tmp_path / "logs" / "application_7.log").read_text()
+    mapped, skipped = readers.read_mapping(spark, readers.load_homes(spark, f"{folder['load']}7-home-load.csv"), f"{folder['mapping']}7_map_h2r.txt")
+    assert mapped.count() == len(homes) and skipped == 0
+    loads = readers.read_transformers(spark, f"{folder['secnet']}7_transformers.csv").agg(F.sum("load")).first()[0]
+    assert loads == pytest.approx(sum(r.load for r in homes))
+    labels = {r.label for r in spark.read.option("header", True).csv(f"{folder['primnet']}7_final_edges.csv").select("label").distinct().collect()}
+    assert labels == {"feeder", "primary", "secondary"} and spark.read.parquet(f"{tmp_path}/figs/7_node_H").count() == len(homes)

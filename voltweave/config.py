@@ -45,6 +45,13 @@ class Primary:
     max_feeder_capacity: float = 400.0
 
 
+@dataclass(frozen=True)
+class Outputs:
+    secnet: str = "out/secnet/"
+    primnet: str = "out/primnet/"
+    figures: str = "figs"
+
+
 @dataclass(frozen=True)
 class Config:
     state: int = 51
@@ -53,6 +60,7 @@ class Config:
     miscellaneous: Misc = field(default_factory=Misc)
     secnet: Secondary = field(default_factory=Secondary)
     primnet: Primary = field(default_factory=Primary)
+    outputs: Outputs = field(default_factory=Outputs)
     #: Cells of at most this many nodes lose their substation.
     min_cell_nodes: int = 100
 
@@ -64,7 +72,9 @@ def _known(kind: type, values: dict) -> dict:
 def load_config(path: str) -> Config:
     """Settings of a YAML file; keys that nothing uses (solver options, figures) are left aside."""
     raw = yaml.safe_load(Path(path).read_text()) or {}
+    made = {k: (raw.get(k) or {}).get("out_dir") for k in ("secnet", "primnet")} | {"figures": (raw.get("figures") or {}).get("directory")}
     return Config(
+        outputs=Outputs(**{k: v for k, v in made.items() if v}),
         **_known(Config, {k: v for k, v in raw.items() if not isinstance(v, dict)}),
         inputs=Inputs(**_known(Inputs, raw.get("inputs", {}))),
         miscellaneous=Misc(**_known(Misc, raw.get("miscellaneous", {}))),

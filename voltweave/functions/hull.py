@@ -51,6 +51,14 @@ def convex_hull(points: DataFrame, x: str = "lon", y: str = "lat") -> list[tuple
     return monotone_chain(found)
 
 
+def bounding_box(points: DataFrame, buffer: float = 0.01, x: str = "lon", y: str = "lat") -> DataFrame:
+    """One row: lon_min, lat_min, lon_max, lat_max of the points, widened by ``buffer`` degrees on every side, and their number; nulls without points."""
+    low, high = F.lit(-buffer), F.lit(buffer)
+    return points.agg(
+        (F.min(x) + low).alias("lon_min"), (F.min(y) + low).alias("lat_min"), (F.max(x) + high).alias("lon_max"), (F.max(y) + high).alias("lat_max"), F.count("*").alias("points")
+    )
+
+
 def strictly_inside(hull: list[tuple[float, float]], x: str = "lon", y: str = "lat") -> Column:
     """Left of every edge: on an edge or a corner is outside.  A hull without area holds nothing."""
     if len(hull) < 3:

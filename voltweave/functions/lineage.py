@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder that spark.checkpoint.dir names; our own only where that is unset, as in local tests."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where that is unset a local session gets a temporary folder; on a cluster, whose machines do not share one, a
+    RuntimeError says what to set.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vw-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vw-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -70,6 +70,19 @@ def join_components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = N
     return kept.select(*nodes.columns), add_edges(old, new, by)
 
 
+def union_edges(old: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Edges of both undirected graphs; of equal (by, u, v, key), in either direction, the attributes of ``new`` hold.
+
+    Both have the same columns; a pair's ends come back in order, u the smaller.
+    """
+    by = by or []
+    rest = [c for c in old.columns if c not in (*by, "u", "v", "key")]
+    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))
+    pair = both.select(*by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key", "side", F.struct(*rest).alias("a"))
+    one = pair.groupBy(*by, "u", "v", "key").agg(F.max_by("a", "side").alias("a"), F.count("*").alias("rows"))
+    return one.select(*by, "u", "v", "key", "a.*", "rows")
+
+
 def nearest_pairs(main: DataFrame, others: DataFrame, by: list[str], first_cell: float = 0.002) -> DataFrame:
     """For every component of ``others`` the shortest pair (u in ``main``, v in it) with its length and points.
 

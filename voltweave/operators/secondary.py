@@ -41,12 +41,14 @@ def home_sides(link_homes: DataFrame, edges: DataFrame, by: list[str] | None = N
     return one.select(*keys, "h.hid", "h.lon", "h.lat", "h.load", side.alias("side"))
 
 
-def home_pairs(sides: DataFrame, penalty: float, by: list[str] | None = None) -> DataFrame:
+def home_pairs(sides: DataFrame, penalty: float, by: list[str] | None = None, limit: int = EXACT) -> DataFrame:
     """(by, u, v, key, a, b, length, crossing, cost) of all pairs of homes of a link, a < b.
 
-    For links within the exact limit; a link's homes are few by definition, so the pairs stay few.
+    Only for links of at most ``limit`` homes; those of more have the edges of their triangulation as candidates.
     """
     keys = [*(by or []), "u", "v", "key"]
+    small = sides.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= limit).select(*keys)
+    sides = sides.join(small, keys, "left_semi")
     a = sides.select(*keys, F.col("hid").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("side").alias("sa"))
     b = sides.select(*keys, F.col("hid").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by_"), F.col("side").alias("sb"))
     both = geo.with_geodesic(a.join(b, keys).where("a < b"), "ax", "ay", "bx", "by_", "length")

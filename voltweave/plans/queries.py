@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, Secondary
 from ..functions import geo
+from ..functions.hull import bounding_box
 from ..operators import final, graph, mapping, partition, secondary
 from ..sources import fixtures, readers, writers
 from . import network
@@ -82,10 +83,11 @@ def substations_in_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.select("sub_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
-@query(f"select min(lon) as lon_min, min(lat) as lat_min, max(lon) as lon_max, max(lat) as lat_max, (select count(distinct hid) from ({_HOMES})) as homes from ({_HOMES})")
+@query(f"select round(min(lon) - 0.01e0, 8) as lon_min, round(min(lat) - 0.01e0, 8) as lat_min, round(max(lon) + 0.01e0, 8) as lon_max, round(max(lat) + 0.01e0, 8) as lat_max, count(*) as points from ({_HOMES})")
 def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = fixtures.homes(spark, sf_dir)
-    return h.agg(F.min("lon").alias("lon_min"), F.min("lat").alias("lat_min"), F.max("lon").alias("lon_max"), F.max("lat").alias("lat_max"), F.count("hid").alias("homes"))
+    """The homes' box with the usual buffer, within which roads are looked for."""
+    b = bounding_box(fixtures.homes(spark, sf_dir))
+    return b.select(*(F.round(c, 8).alias(c) for c in b.columns[:4]), "points")
 
 
 @query(f"select u, v, key, round(length, 3) as length, highway, case when bent = 1 and bare = 0 then 3 else 2 end as points, round(ux, 8) as x0, round(uy, 8) as y0 from ({_ROADS})")
@@ -163,10 +165,11 @@ def edge_to_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.homes_by_edge(m, h, BY).select("u", "v", "key", F.size("homes").cast("long").alias("homes"), F.array_join(F.transform("homes", lambda x: x.hid.cast("string")), ",").alias("ids"))
 
 
-@query(f"select 'Home(id=' || m.hid || ') -> Edge(' || m.u || ', ' || m.v || ', ' || m.key || ')' as line from ({_MAPPED}) m")
+@query(f"select 'Home(id=' || m.hid || ', lon=' || h.lon || ', lat=' || h.lat || ') -> Edge(' || m.u || ', ' || m.v || ', ' || m.key || ')' as line from ({_MAPPED}) m join ({_HOMES}) h on h.hid = m.hid")
 def mapping_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole line of every mapped home."""
     h, _, m = _mapped(spark, sf_dir)
-    return writers.mapping_lines(m, h).select(F.regexp_replace("value", r", lon=[^)]*\)", ")").alias("line"))
+    return writers.mapping_lines(m, h).select(F.col("value").alias("line"))
 
 
 # -- candidate networks --------------------------------------------------------------------------
@@ -216,7 +219,7 @@ def side_of_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir)[0].select("hid", "u", "v", "key", "side")
 
 
-_PAIRS = geo.geodesic_sql(f"with s as ({_SIDES}) select a.u, a.v, a.key, a.hid as a, b.hid as b, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as by_, abs(a.side - b.side) as crossing from s a join s b on a.u = b.u and a.v = b.v and a.key = b.key and a.hid < b.hid", "ax", "ay", "bx", "by_", "length")
+_PAIRS = geo.geodesic_sql(f"with s as (select *, count(*) over (partition by u, v, key) as n from ({_SIDES}) qualify n <= {secondary.EXACT}) select a.u, a.v, a.key, a.hid as a, b.hid as b, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as by_, abs(a.side - b.side) as crossing from s a join s b on a.u = b.u and a.v = b.v and a.key = b.key and a.hid < b.hid", "ax", "ay", "bx", "by_", "length")
 
 
 @query(f"select u, v, key, a, b, crossing, round(length, 3) as length, round(length + {SEC.penalty!r}e0 * crossing, 3) as cost from ({_PAIRS})")
@@ -293,6 +296,26 @@ def lone_home_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lone, ["u", "v", "key"], "left_semi").select("hid", F.round("cost", 2).alias("cost"))
 
 
+_FIRST = f"select u, v, key, hid, min(length) + {SEC.penalty!r}e0 as c from ({_LINES}) group by u, v, key, hid"
+_COSTS = f"select u, v, key, a, b, length + {SEC.penalty!r}e0 * crossing as p from ({_PAIRS})"
+
+
+@query(f"""
+with f as (select *, count(*) over (partition by u, v, key) as n, row_number() over (partition by u, v, key order by hid) as r from ({_FIRST})), p as ({_COSTS}),
+w as (select x.u, x.v, x.key, x.n, x.c as a, y.c as b, z.c as c, p.p as ab, q.p as ac, o.p as bc from f x
+  left join f y on y.u = x.u and y.v = x.v and y.key = x.key and y.r = 2 left join f z on z.u = x.u and z.v = x.v and z.key = x.key and z.r = 3
+  left join p on p.u = x.u and p.v = x.v and p.key = x.key and p.a = x.hid and p.b = y.hid
+  left join p q on q.u = x.u and q.v = x.v and q.key = x.key and q.a = x.hid and q.b = z.hid
+  left join p o on o.u = x.u and o.v = x.v and o.key = x.key and o.a = y.hid and o.b = z.hid where x.r = 1 and x.n <= 3)
+select u, v, key, n as homes, round(case n when 1 then a when 2 then least(a + b, least(a, b) + ab) else
+  least(a + b + c, least(a, b) + ab + c, least(a, c) + ac + b, least(b, c) + bc + a, ab + bc + least(a, c), ab + ac + least(b, c), ac + bc + least(a, b)) end, 2) as cost from w
+""")
+def small_link_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost of the lines of every link of one to three homes; the SQL takes the cheapest of all covers by paths."""
+    d = _stages(spark, sf_dir, "secondary")["design"]
+    return d.groupBy("u", "v", "key").agg(F.count("*").alias("homes"), F.round(F.max("cost"), 2).alias("cost")).where("homes <= 3")
+
+
 @query(f"select u, v, key, t, 'T' || cast(51999000000000000 + row_number() over (order by u, v, key, t) - 1 as varchar) as transformer_id from (select u, v, key, i as t from ({_SITES}))")
 def transformer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = secondary.sites(_undirected(spark, sf_dir), SEC.separation)
@@ -441,19 +464,30 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(_undirected(spark, sf_dir).select("u", "v", "key"), cells).select(F.col("sub_id").alias("centre"), "u", "v", "key")
 
 
-@query(f"select least(u, v) as u, greatest(u, v) as v, key, max_by(highway, seq) as highway, count(*) as rows from (select u, v, key, seq, highway from ({_DIRECTED}) union all select u, v, key, -1, 'old' from ({_BLOCKS})) group by 1, 2, 3")
+@query(f"select u, v, key, max_by(highway, seq) as highway, count(*) as rows from (select u, v, key, 1 as seq, highway from ({_ROADS}) union all select u, v, key, -1, 'old' from ({_BLOCKS})) group by 1, 2, 3")
 def edge_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of two edge sets in which the later rows win."""
     _, old = _blocks(spark, sf_dir)
     new = fixtures.raw_edges(spark, sf_dir)
-    both = new.select("u", "v", "key", "seq", "highway").unionByName(old.select("u", "v", "key", F.lit(-1).cast("long").alias("seq"), F.lit("old").alias("highway")))
-    pair = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key", "seq", "highway")
-    return pair.groupBy("u", "v", "key").agg(F.max_by("highway", "seq").alias("highway"), F.count("*").alias("rows"))
+    one = readers.undirected(new, "seq").select("u", "v", "key", "highway")
+    return graph.union_edges(old.select("u", "v", "key", F.lit("old").alias("highway")), one)
 
 
 # -- partition, primary and final network --------------------------------------------------------
 
 
+_BIG = f"select ctr as node_id from ({_voronoi_sql(f'select distinct node_id from ({_SNAPPED})')}) group by ctr having count(*) > {CONFIG.min_cell_nodes}"
+
+
+@query(f"select s.sub_id, v.node as node_id, round(v.dist, 3) as dist from ({_voronoi_sql(_BIG)}) v join (select node_id, min(sub_id) as sub_id from ({_SNAPPED}) group by node_id) s on s.node_id = v.ctr")
+def partition_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the road network after substations with few nodes are dropped and the cells computed anew."""
+    centres, _, edges = _snapped(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    p = graph.partition(edges.select(*BY, text("u"), text("v"), "length"), centres.select(*BY, "sub_id", text("node_id")), BY, CONFIG.min_cell_nodes)
+    return p.select("sub_id", F.col("node_id").cast("long").alias("node_id"), F.round("dist", 3).alias("dist"))
+
+
 @query()
 def partition_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stages(spark, sf_dir, "partition")
