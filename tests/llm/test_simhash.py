@@ -68,11 +68,11 @@ def test_index_matches_all_pairs(n, k, flips, groups):
         assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(roots.values()))
 
 
-@pytest.mark.parametrize("bucket_rows", [2048, 7])
-def test_links_close_to_the_components_of_all_pairs(spark, bucket_rows):
+@pytest.mark.parametrize(("bucket_rows", "hot_rows"), [(2048, simhash.HOT_ROWS), (7, 3)])
+def test_links_close_to_the_components_of_all_pairs(spark, bucket_rows, hot_rows):
     fp = families(3, 400, 20, 4)
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp bigint")
-    found = {r.node: r.root for r in simhash.components(simhash.link_fingerprints(df, bucket_rows=bucket_rows)).collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.link_fingerprints(df, bucket_rows=bucket_rows, hot_rows=hot_rows), hot_rows=hot_rows).collect()}
     roots = brute_roots([int(x) for x in fp])
     back = lambda x: x & (2**64 - 1)
     by = {}
@@ -105,13 +105,24 @@ def test_query_on_odd_rows(spark):
     assert roots[None, want["nobody has this one text"]] is None
 
 
-def test_one_row_of_each_group_stays(spark):
+@pytest.mark.parametrize("hot_rows", [simhash.HOT_ROWS, 1])
+def test_one_row_of_each_group_stays(spark, hot_rows):
     docs = spark.createDataFrame(TEXTS, SCHEMA)
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, hot_rows=hot_rows)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["11", "12", "2", "3", "7", "None"]
 
 
+def test_hot_keys_change_nothing(spark):
+    rows = [(i, f"text {i % 4} shared by many rows of one key", "") for i in range(40)] + [(100 + i, f"{i} alone it stands {i * i}", "") for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plain, hot = (sorted(simhash.near_duplicates(docs, hot_rows=n).collect()) for n in (simhash.HOT_ROWS, 2))
+    assert plain == hot and len(plain) == 60
+    side = spark.createDataFrame([("a", 7, 3), ("b", 8, 1), ("c", 9, 0)], "k string, v int, n int")
+    got = simhash.hot_join(spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,)], "k string"), side, "k", "n", 5, 2)
+    assert got.columns == ["k", "v"] and sorted(map(tuple, got.collect())) == [("a", 7)] * 3 + [("b", 8)]
+
+
 def test_clashing_ids_lose_no_component(spark):
     near, other = TEXTS[0][1], "a wholly different text about rivers and the boats that go on them every day"
     rows = [(1, near, "a"), (1, other, "b"), (2, "third thing that nobody else has said before in here", "c"), (2, near.upper(), "d"), (9, None, "e"), (9, None, "f")]

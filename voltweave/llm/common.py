@@ -57,6 +57,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key from which ``hot_join`` keeps it out of the shuffle, and such keys at most.
+HOT_ROWS, HOT_KEYS = 1 << 18, 1 << 16
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, n: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has each key once and in ``n`` the number of its rows; ``n`` is dropped.
+
+    Rows of a frequent key stay where they are and meet a broadcast of the frequent part of ``side``, so that no key
+    gathers in one task.  ``total`` rows have at most ``HOT_KEYS`` keys of more than their ``HOT_KEYS``-th part,
+    so the broadcast does not grow with the input.  Null keys join nothing.
+    """
+    least = max(hot_rows, total // HOT_KEYS)
+    often = side.where(F.col(n) > least).drop(n)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(side.where(F.col(n) <= least).drop(n), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def class_counts(df: DataFrame, label: str, key: str) -> dict:
     """Rows of every label; reads the label and key columns only."""
     rows = (

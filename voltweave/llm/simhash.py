@@ -28,11 +28,13 @@ checked at the leaves of the same index.  Unlike an exact count this is an estim
 Edge cases: null counts as empty; texts without words have fingerprint zero and
 are linked like others; rows with a null id get a fingerprint and the smallest
 non-null id of their component (null if there is none); repeated rows and ids
-stay as they are; an empty table gives an empty result.
+stay as they are; an empty table gives an empty result.  A fingerprint, bucket or
+node that very many rows share never gathers in one task (``hot_join``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, cut, settle, slices
+from .common import HOT_ROWS, buffers, cut, hot_join, settle, slices
 
 #: Words of a shingle, seed of its XXH64, and differing bits up to which fingerprints are linked.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -264,17 +266,18 @@ def _keys(fp: Column, n: int, joined: int) -> Column:
     return F.array(*out)
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints ``fp``; their components are those of all pairs within ``radius``.
 
     With columns ``node`` and ``wide`` links are between nodes, and those of confirmed pairs only.
     """
-    n, joined = blocks(distinct.count(), radius)
+    total = distinct.count()
+    n, joined = blocks(total, radius)
     sure = "wide" in distinct.columns
     columns = ["fp", "node", "wide"] if sure else ["fp"]
     keyed = distinct.select(*columns, F.explode(_keys(F.col("fp"), n, joined)).alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    units = keyed.join(size, "key")
+    size = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("m").alias("rows"))
+    units = hot_join(keyed, size, "key", "rows", total * math.comb(n, joined), hot_rows)
     chunks = F.ceil(F.col("m") / bucket_rows).cast("int")
     mine = F.pmod(F.xxhash64(columns[-1], F.lit(7)), chunks).cast("int")
     units = (
@@ -311,21 +314,22 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_rows: in
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), root the smallest of its component.
 
     Alternating large and small stars: each round re-hangs neighbours on their smallest
     common neighbour, by joins with grouped minima; the number of rounds grows with the
-    logarithm of the longest chain.  Each round is written to the shared folder.
+    logarithm of the longest chain.  Each round is written to the shared folder.  A hub's
+    neighbours, which may be most nodes, are not shuffled to it.
     """
     edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    total, state = edges.count(), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = hot_join(both.where("b > a"), least, "a", "n", 2 * total, hot_rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, "a", "n", 2 * total, hot_rows)
         edges = settle(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
             .where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -333,38 +337,38 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        total, state = now[0], now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def _grouped(documents: DataFrame, text: str, key: str, radius: int, shingle: int | None) -> tuple[DataFrame, DataFrame]:
-    """(``key``, ``node``) of every row; (``node``, ``root``, ``component_id``) of every node, root the smallest of its component.
+def _grouped(documents: DataFrame, text: str, key: str, radius: int, shingle: int | None, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``node``) of every row; (``node``, ``root``, ``component_id``, ``n``) of every node, root the smallest of its component and n its number of rows.
 
     A node is a fingerprint over shingles or, without ``shingle``, the pair of signatures of near-duplicates.
     """
     if shingle:
         prints = cut(fingerprint_documents(documents, text, key, shingle).withColumnRenamed("fp", "node"))
-        own = cut(prints.groupBy("node").agg(F.min(key).alias("least")))
-        links = link_fingerprints(own.select(F.col("node").alias("fp")), radius)
+        own = cut(prints.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("n")))
+        links = link_fingerprints(own.select(F.col("node").alias("fp")), radius, hot_rows=hot_rows)
     else:
         prints = cut(sign_documents(documents, text, key))
-        own = cut(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide")))
-        links = link_fingerprints(own.select("node", "fp", "wide"), radius)
-    root = components(links).withColumnRenamed("node", "linked")
+        own = cut(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.count("*").alias("n")))
+        links = link_fingerprints(own.select("node", "fp", "wide"), radius, hot_rows=hot_rows)
+    root = components(links, hot_rows=hot_rows).withColumnRenamed("node", "linked")
     linked = own.join(root, own.node == root.linked)
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(smallest, "root").select("node", "root", "component_id")
-    each = own.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    linked = hot_join(linked.select("node", "root"), smallest, "root", "members", own.count(), hot_rows).select("node", "root", "component_id")
+    each = own.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"), "n")
     return prints.select(key, "node"), cut(each)
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (smallest key of the component) of every row."""
-    prints, each = _grouped(documents, text, key, radius, shingle)
-    return prints.join(each, "node").select(key, F.col("node").alias("fp"), "component_id")
+    prints, each = _grouped(documents, text, key, radius, shingle, hot_rows)
+    return hot_join(prints, each.drop("root"), "node", "n", prints.count(), hot_rows).select(key, F.col("node").alias("fp"), "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -377,15 +381,15 @@ def simhash_query(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The documents without near-duplicates: one row of each component stays, that with the smallest id.
 
     Of several rows of a component with that id the one with the smallest text stays, whatever rows of other
     components have the id too.  A row with a null id stays only if its whole component has no id.
     """
-    prints, each = _grouped(documents, text, key, NEAR_RADIUS, None)
+    prints, each = _grouped(documents, text, key, NEAR_RADIUS, None, hot_rows)
     first = F.col(key).eqNullSafe(F.col("component_id"))
-    found = prints.join(each, "node").groupBy(key).agg(F.count("*").alias("rows"), F.max(first).alias("first"))
+    found = hot_join(prints, each, "node", "n", prints.count(), hot_rows).groupBy(key).agg(F.count("*").alias("rows"), F.max(first).alias("first"))
     ids = cut(found.where("first"))
     alone = ids.where((F.col("rows") == 1) & F.col(key).isNotNull()).select(key)
     kept = documents.join(alone, key, "left_semi").select(*documents.columns)
@@ -393,7 +397,7 @@ def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
     many = ids.where((F.col("rows") > 1) | F.col(key).isNull()).select(F.col(key).alias("id"))
     if many.limit(1).count():
         rows = documents.join(many, F.col(key).eqNullSafe(F.col("id")), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("r"), F.col(text).alias("t"))
-        rows = sign_documents(rows, "t", "r").join(each, "node").where(F.col("r")[key].eqNullSafe(F.col("component_id")))
+        rows = sign_documents(rows, "t", "r").join(each.drop("n"), "node").where(F.col("r")[key].eqNullSafe(F.col("component_id")))
         one = rows.groupBy("root").agg(F.min_by("r", F.struct(F.col("r")[text])).alias("r"))
         kept = kept.unionByName(one.select("r.*"))
     return kept
