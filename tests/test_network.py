@@ -145,6 +145,21 @@ def test_exact_cover_is_the_optimum(seed):
     assert secondary.tree_bound(cost, start) <= total + 1e-9
 
 
+def test_links_solved_together_are_solved_alone():
+    rng = np.random.default_rng(3)
+    for m, rating, hops in ((1, 4.0, 2), (4, 9.0, 3), (7, 12.0, 7), (5, 9.0, 0)):
+        many = [small_cover(rng, m) for _ in range(20)]
+        cost, start, load = (np.stack(x) for x in zip(*many, strict=True))
+        start[3, 0] = np.inf
+        covers = secondary.exact_covers(cost, start, load, rating, hops)
+        assert len(covers) == 20
+        for x, paths in enumerate(covers):
+            want = brute_cover(cost[x], start[x], load[x], rating, hops) if hops else math.inf
+            got = math.inf if paths is None else sum(start[x, p[0]] + sum(cost[x, a, b] for a, b in zip(p, p[1:])) for p in paths)
+            assert got == want or abs(got - want) < 1e-9
+            assert paths is None or all(len(p) <= hops and load[x, p].sum() <= rating for p in paths)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_savings_cover_keeps_the_rules(seed):
     rng = np.random.default_rng(seed)
@@ -198,6 +213,13 @@ def test_voronoi_forms_agree(spark):
     a = {r.node_id: (r.centre, round(r.dist, 6)) for r in graph.voronoi(edges, centres, ["region"]).collect()}
     b = {r.node_id: (r.centre, round(r.dist, 6)) for r in graph.voronoi_frontier(edges, centres, ["region"]).collect()}
     assert a == b and len(a) == 36
+    both = edges.union(spark.createDataFrame([(1, "0", "1", 1.0), (1, "1", "2", 1.0)], edges.schema))
+    seeds = centres.union(spark.createDataFrame([(1, "2")], centres.schema))
+    want = {tuple(r) for r in graph.voronoi(both, seeds, ["region"]).withColumn("dist", F.round("dist", 6)).collect()}
+    for most in (10, 1, 1000):  # the large region by joins, both, none
+        assert {tuple(r) for r in graph.nearest_centres(both, seeds, ["region"], most).withColumn("dist", F.round("dist", 6)).collect()} == want
+    one = graph.nearest_centres(edges.drop("region"), centres.drop("region"), [], 10).collect()
+    assert {r.node_id: (r.centre, round(r.dist, 6)) for r in one} == a
 
 
 def test_small_cell_loses_its_substation(spark):
@@ -324,11 +346,13 @@ def test_file_round_trips(spark, tmp_path):
     writers.write_roads(nodes, edges, str(tmp_path / "rn"), str(tmp_path / "re"))
     _, back = readers.load_roads(spark, str(tmp_path / "re"), str(tmp_path / "rn"))
     assert {(r.u, r.v, r.key): len(r.coords) for r in back.collect()} == {(1, 2, 0): 3, (1, 2, 1): 2}
-    pn = spark.createDataFrame([("1", "5", 0.0, 0.0, "R", 0.0, 2.0), ("1", "T1", 1.0, 0.0, "T", 3.0, None)], "sub_id string, node_id string, lon double, lat double, label string, load double, distance double")
+    pn = spark.createDataFrame([("1", "5", 0.0, 0.0, "R", 0.0, 2.0), ("22", "8", 0.0, 1.0, "R", 0.0, 1.0), ("3", "9", 0.0, 2.0, "R", 0.0, 4.0), ("1", "T1", 1.0, 0.0, "T", 3.0, None)], "sub_id string, node_id string, lon double, lat double, label string, load double, distance double")
     pe = spark.createDataFrame([("1", "5", "T1", 0, "r", 7.0, [(0.0, 0.0), (1.0, 0.0)])], f"sub_id string, u string, v string, key int, highway string, length double, coords array<{P}>")
     writers.write_partitions(pn, pe, str(tmp_path / "p"))
     n, e = readers.read_partitions(spark, str(tmp_path / "p"))
-    assert {(r.node_id, r.distance) for r in n.collect()} == {("5", 2.0), ("T1", writers.NO_DISTANCE)} and (e.first().u, e.first().v, e.first().key) == ("5", "T1", 0)
+    assert {(r.sub_id, r.node_id, r.distance) for r in n.collect()} == {("1", "5", 2.0), ("1", "T1", writers.NO_DISTANCE), ("22", "8", 1.0), ("3", "9", 4.0)} and (e.first().u, e.first().v, e.first().key) == ("5", "T1", 0)
+    writers.write_partitions(pn.limit(0), pe.limit(0), str(tmp_path / "none"))
+    assert readers.read_partitions(spark, str(tmp_path / "none"))[0].count() == 0
     (tmp_path / "bad.json").write_text("{nope")
     with pytest.raises(ValueError):
         readers.read_partitions(spark, str(tmp_path / "bad.json"))

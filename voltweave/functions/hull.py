@@ -1,13 +1,18 @@
-"""Convex hull: each partition is narrowed to its own corners, a few rounds narrow further, the driver finishes."""
+"""Convex hull: points inside the extremes of a few directions are left out, each partition is narrowed to its own corners, a few rounds narrow further, the driver finishes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Directions whose farthest points are looked for first.
+DIRECTIONS = 16
+
+
 def monotone_chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Hull corners in counter-clockwise order; points on an edge are left out."""
     pts = sorted(set(points))
@@ -28,6 +33,8 @@ def monotone_chain(points: list[tuple[float, float]]) -> list[tuple[float, float
 def convex_hull(points: DataFrame, x: str = "lon", y: str = "lat") -> list[tuple[float, float]]:
     """Hull of a point table; ``ValueError`` if it is empty.
 
+    A point inside the polygon of the farthest points of ``DIRECTIONS`` directions is no corner, so
+    nearly all points are left out before Python sees them.
     The hull of all points is the hull of the partitions' hulls, so only corners leave a
     partition; with many partitions their corners are narrowed again, 64 to one, before
     the last few come to the driver.
@@ -40,6 +47,9 @@ def convex_hull(points: DataFrame, x: str = "lon", y: str = "lat") -> list[tuple
         yield pd.DataFrame(held, columns=["x", "y"])
 
     df = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    far = [F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)) for a in (2 * math.pi * i / DIRECTIONS for i in range(DIRECTIONS))]
+    extremes = [(p.x, p.y) for p in df.agg(F.array(*far).alias("p")).first().p if p is not None]
+    df = df.where(~strictly_inside(monotone_chain(extremes), "x", "y"))
     parts = df.rdd.getNumPartitions()
     df = df.mapInPandas(corners, "x double, y double")
     while parts > 64:

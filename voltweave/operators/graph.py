@@ -192,7 +192,7 @@ def dijkstra(u: np.ndarray, v: np.ndarray, w: np.ndarray, centres: list[str]) ->
 def voronoi(edges: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
     """(by, node_id, centre, dist): nearest centre of every node along the network, a region a task.
 
-    A region's graph must fit a worker; ``voronoi_frontier`` has no such limit.
+    A region's graph must fit a worker; ``voronoi_frontier`` has no such limit, and ``nearest_centres`` chooses.
     """
     kinds = {c: t for c, t in edges.dtypes}
 
@@ -231,20 +231,35 @@ def voronoi_frontier(edges: DataFrame, centres: DataFrame, by: list[str] | None
     raise RuntimeError("distances did not settle")
 
 
-def partition(edges: DataFrame, centres: DataFrame, by: list[str], min_nodes: int = 100) -> DataFrame:
+#: Edges of a region's graph up to which one task holds it.
+TASK_EDGES = 1_000_000
+
+
+def nearest_centres(edges: DataFrame, centres: DataFrame, by: list[str], task_edges: int = TASK_EDGES) -> DataFrame:
+    """(by, node_id, centre, dist): regions of up to ``task_edges`` edges a task each, larger ones by rounds of joins."""
+    large = edges.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select(*by)
+    if large.isEmpty():
+        return voronoi(edges, centres, by)
+    if not by:
+        return voronoi_frontier(edges, centres, by)
+    small, rest = ([df.join(large, by, how) for df in (edges, centres)] for how in ("left_anti", "left_semi"))
+    return voronoi(*small, by).unionByName(voronoi_frontier(*rest, by))
+
+
+def partition(edges: DataFrame, centres: DataFrame, by: list[str], min_nodes: int = 100, task_edges: int = TASK_EDGES) -> DataFrame:
     """(by, sub_id, node_id, dist): cells around the substations' road nodes.
 
     ``centres`` is (by, sub_id, node_id).  Centres whose cell has at most ``min_nodes`` nodes are dropped
     and the cells of the rest are computed anew; ``ValueError`` if none is left.  Of substations on one
     node the one with the smallest id has the cell.
     """
-    first = cut(voronoi(edges, centres, by))
+    first = cut(nearest_centres(edges, centres, by, task_edges))
     big = first.groupBy(*by, "centre").agg(F.count("*").alias("n")).where(F.col("n") > min_nodes)
     own = centres.groupBy(*by, "node_id").agg(F.min("sub_id").alias("sub_id"))
     valid = cut(own.join(big.select(*by, F.col("centre").alias("node_id")), [*by, "node_id"], "left_semi"))
     if valid.isEmpty():
         raise ValueError("no substation has a large enough cell")
-    cells = voronoi(edges.join(valid.select(*by).distinct(), by, "left_semi") if by else edges, valid, by)
+    cells = nearest_centres(edges.join(valid.select(*by).distinct(), by, "left_semi") if by else edges, valid, by, task_edges)
     return cells.join(valid.select(*by, F.col("node_id").alias("centre"), "sub_id"), [*by, "centre"]).select(*by, "sub_id", "node_id", "dist")
 
 

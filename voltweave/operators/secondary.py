@@ -12,6 +12,8 @@ Delaunay edges, with a lower bound beside the cost.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from .mapping import homes_by_edge
 
 #: Homes up to which all pairs are candidates and the cover is exact.
 EXACT = 10
+#: Links of one size that are solved at once (10 homes take some 150 KB a link).
+BATCH = 128
 
 
 def sites(edges: DataFrame, separation: float, by: list[str] | None = None) -> DataFrame:
@@ -70,54 +74,73 @@ def site_homes(sides: DataFrame, points: DataFrame, penalty: float, nearest: int
 # -- path cover ----------------------------------------------------------------------------------
 
 
-def exact_cover(cost: np.ndarray, start: np.ndarray, load: np.ndarray, rating: float, hops: int) -> list[list[int]] | None:
-    """Cheapest cover by paths, or ``None``; ``cost`` between homes, ``start`` from the best site (inf: none)."""
-    m = len(load)
-    full = (1 << m) - 1
-    path = np.full((1 << m, m), np.inf)  # cheapest path over a set that ends at a home
-    prev = np.full((1 << m, m), -1)
-    size = [bin(s).count("1") for s in range(1 << m)]
-    total = np.zeros(1 << m)
-    for s in range(1, 1 << m):
-        low = (s & -s).bit_length() - 1
-        total[s] = total[s & (s - 1)] + load[low]
-    fits = [size[s] <= hops and total[s] <= rating for s in range(1 << m)]
-    for i in range(m):
-        if fits[1 << i]:
-            path[1 << i, i] = start[i]
+@lru_cache(maxsize=EXACT + 1)
+def _layers(m: int) -> list[tuple[np.ndarray, ...]]:
+    """For sets of 1, 2, ... m homes as bit masks: the sets; (set, last home) pairs with their rest; subsets that hold the lowest home, largest first."""
+    out = []
+    for k in range(1, m + 1):
+        sets = np.array([sum(1 << i for i in c) for c in combinations(range(m), k)])
+        whole, last = np.array([(s, j) for s in sets.tolist() for j in range(m) if s >> j & 1]).T
+        parts = np.array([sorted((s & -s | sum(1 << i for i in c) for r in range(k) for c in combinations([i for i in range(m) if (s & s - 1) >> i & 1], r)), reverse=True) for s in sets.tolist()])
+        out.append((sets, whole, last, whole ^ 1 << last, parts))
+    return out
+
+
+def exact_covers(cost: np.ndarray, start: np.ndarray, load: np.ndarray, rating: float, hops: int) -> list[list[list[int]] | None]:
+    """For each of n links of m homes the cheapest cover by paths, or ``None``; ``cost`` (n, m, m) between homes, ``start`` (n, m) from the best site (inf: none).
+
+    Dynamic programming over subsets, all links and all subsets of one size at once.
+    """
+    n, m = start.shape
+    if not m:
+        return [[] for _ in range(n)]
+    layers, full = _layers(m), (1 << m) - 1
+    path = np.full((n, full + 1, m), np.inf)  # cheapest path over a set that ends at a home
+    prev = np.full((n, full + 1, m), -1, np.int8)
+    total = np.zeros((n, full + 1))
+    cover, part = np.full((n, full + 1), np.inf), np.zeros((n, full + 1), np.int64)
+    cover[:, 0] = 0
     for s in range(1, full + 1):
-        if not fits[s]:
+        total[:, s] = total[:, s & s - 1] + load[:, (s & -s).bit_length() - 1]
+    for k, (_, whole, last, rest, _) in enumerate(layers[:hops] if hops > 0 else [], 1):
+        fits = total[:, whole] <= rating
+        if k == 1:
+            path[:, whole, last] = np.where(fits, start[:, last], np.inf)
             continue
-        for i in range(m):
-            if path[s, i] < np.inf:
-                for j in range(m):
-                    n = s | 1 << j
-                    if not s >> j & 1 and fits[n] and path[s, i] + cost[i, j] < path[n, j]:
-                        path[n, j], prev[n, j] = path[s, i] + cost[i, j], i
-    best, last = path.min(axis=1), path.argmin(axis=1)
-    cover, part = np.full(full + 1, np.inf), np.zeros(full + 1, np.int64)
-    cover[0] = 0
-    for s in range(1, full + 1):
-        first = s & -s
-        sub = s
-        while sub:  # subsets that hold the lowest home, so that every cover is seen once
-            if sub & first and best[sub] + cover[s ^ sub] < cover[s]:
-                cover[s], part[s] = best[sub] + cover[s ^ sub], sub
-            sub = (sub - 1) & s
-    if cover[full] == np.inf:
-        return None
-    out, s = [], full
-    while s:
-        sub = int(part[s])
-        s ^= sub
-        i, own = int(last[sub]), []
-        while i >= 0:
-            own.append(i)
-            i, sub = int(prev[sub, i]), sub ^ 1 << i
-        out.append(own[::-1])
+        step = path[:, rest, :] + cost.transpose(0, 2, 1)[:, last, :]
+        before = step.argmin(axis=2)
+        least = np.where(fits, np.take_along_axis(step, before[:, :, None], 2)[:, :, 0], np.inf)
+        path[:, whole, last] = least
+        prev[:, whole, last] = np.where(np.isfinite(least), before, -1)
+    best, end = path.min(axis=2), path.argmin(axis=2)
+    for sets, _, _, _, parts in layers:  # parts hold the lowest home, so that every cover is seen once
+        step = best[:, parts] + cover[:, sets[:, None] ^ parts]
+        which = step.argmin(axis=2)
+        cover[:, sets] = np.take_along_axis(step, which[:, :, None], 2)[:, :, 0]
+        part[:, sets] = parts[np.arange(len(sets)), which]
+    out: list[list[list[int]] | None] = []
+    for x in range(n):
+        if cover[x, full] == np.inf:
+            out.append(None)
+            continue
+        paths, s = [], full
+        while s:
+            sub = int(part[x, s])
+            s ^= sub
+            i, own = int(end[x, sub]), []
+            while i >= 0:
+                own.append(i)
+                i, sub = int(prev[x, sub, i]), sub ^ 1 << i
+            paths.append(own[::-1])
+        out.append(paths)
     return out
 
 
+def exact_cover(cost: np.ndarray, start: np.ndarray, load: np.ndarray, rating: float, hops: int) -> list[list[int]] | None:
+    """The same for one link."""
+    return exact_covers(cost[None], start[None], load[None], rating, hops)[0]
+
+
 def delaunay(points: np.ndarray) -> set[tuple[int, int]]:
     """Edges of the Delaunay triangulation (insertion by circumcircles); all pairs if the points have no area or some coincide."""
     n = len(points)
@@ -215,11 +238,11 @@ def tree_bound(cost: np.ndarray, start: np.ndarray) -> float:
 
 
 def _distance(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-    """Pairwise geodesic metres, by the same formula as the Column form."""
+    """Pairwise geodesic metres along the last axis, by the same formula as the Column form."""
     f, a = geo.FLAT, geo.AXIS
     u = np.arctan((1 - f) * np.tan(np.radians(lat)))
-    s1, s2, c1, c2 = np.sin(u)[:, None], np.sin(u)[None, :], np.cos(u)[:, None], np.cos(u)[None, :]
-    span = np.radians(lon[None, :] - lon[:, None])
+    s1, s2, c1, c2 = np.sin(u)[..., :, None], np.sin(u)[..., None, :], np.cos(u)[..., :, None], np.cos(u)[..., None, :]
+    span = np.radians(lon[..., None, :] - lon[..., :, None])
     lam = span
     for _ in range(geo.ROUNDS):
         ss = np.sqrt((c2 * np.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * np.cos(lam)) ** 2)
@@ -242,29 +265,37 @@ COLUMNS = ["link", "hid", "prev", "path", "pos", "status", "cost", "bound"]
 RESULT = "link long, hid long, prev long, path int, pos int, status string, cost double, bound double"
 
 
-def _solve_link(own: pd.DataFrame, args: Secondary) -> pd.DataFrame:
-    own = own.sort_values("hid", ignore_index=True)
-    m = len(own)
-    length = _distance(own["lon"].to_numpy(), own["lat"].to_numpy())
-    side = own["side"].to_numpy()
-    cost = length + args.penalty * np.abs(side[:, None] - side[None, :])
-    start, load = own["d0"].fillna(np.inf).to_numpy(float), own["load"].to_numpy(float)
-    if m <= EXACT:
-        paths, status = exact_cover(cost, start, load, args.max_rating, args.max_hops), "exact"
-    else:
-        allowed = np.full((m, m), np.inf)
-        for i, j in delaunay(own[["lon", "lat"]].to_numpy()):
-            allowed[i, j] = allowed[j, i] = cost[i, j]
-        cost = allowed
-        paths, status = savings_cover(cost, start, load, args.max_rating, args.max_hops), "heuristic"
-    bound = tree_bound(cost, start)
-    if paths is None:
-        rows = [(own["link"].iloc[0], h, None, None, None, "infeasible", None, None) for h in own["hid"].tolist()]
-        return pd.DataFrame(rows, columns=COLUMNS).astype(object)
-    ids = own["hid"].tolist()
-    total = sum(start[p[0]] + sum(cost[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths)
-    rows = [(own["link"].iloc[0], ids[i], ids[p[k - 1]] if k else None, n, k, status, total, bound) for n, p in enumerate(paths) for k, i in enumerate(p)]
-    return pd.DataFrame(rows, columns=COLUMNS).astype(object)
+def _solve_links(homes: pd.DataFrame, args: Secondary) -> pd.DataFrame:
+    """The lines of whole links; those of up to ``EXACT`` homes are solved many at once, by number of homes."""
+    homes = homes.sort_values(["link", "hid"], ignore_index=True)
+    link, ids = homes["link"].to_numpy(), homes["hid"].to_numpy()
+    value = {c: homes[c].to_numpy(float) for c in ("lon", "lat", "load", "side")} | {"d0": homes["d0"].fillna(np.inf).to_numpy(float)}
+    first = np.flatnonzero(np.append(True, link[1:] != link[:-1]))
+    size = np.diff(np.append(first, len(link)))
+    rows: list[tuple] = []
+    for m in np.unique(size).tolist():
+        same = first[size == m]
+        for k in range(0, len(same), BATCH if m <= EXACT else 1):
+            at = same[k : k + (BATCH if m <= EXACT else 1), None] + np.arange(m)
+            lon, lat, load, side, start = (value[c][at] for c in ("lon", "lat", "load", "side", "d0"))
+            cost = _distance(lon, lat) + args.penalty * np.abs(side[:, :, None] - side[:, None, :])
+            if m <= EXACT:
+                covers, status = exact_covers(cost, start, load, args.max_rating, args.max_hops), "exact"
+            else:
+                allowed = np.full_like(cost, np.inf)
+                for i, j in delaunay(np.column_stack([lon[0], lat[0]])):
+                    allowed[0, i, j] = allowed[0, j, i] = cost[0, i, j]
+                cost = allowed
+                covers, status = [savings_cover(cost[0], start[0], load[0], args.max_rating, args.max_hops)], "heuristic"
+            for x, paths in enumerate(covers):
+                own, name, c = ids[at[x]].tolist(), int(link[at[x, 0]]), cost[x]
+                if paths is None:
+                    rows += [(name, h, None, None, None, "infeasible", None, None) for h in own]
+                    continue
+                total = float(sum(start[x, p[0]] + sum(c[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths))
+                bound = tree_bound(c, start[x])
+                rows += [(name, own[i], own[p[k - 1]] if k else None, n, k, status, total, bound) for n, p in enumerate(paths) for k, i in enumerate(p)]
+    return pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
 
 def design(sides: DataFrame, lines: DataFrame, args: Secondary, by: list[str] | None = None) -> DataFrame:
@@ -293,9 +324,9 @@ def design(sides: DataFrame, lines: DataFrame, args: Secondary, by: list[str] |
             left = f[f["link"] == last]
             f = f[f["link"] != last]
             if len(f):
-                yield pd.concat([_solve_link(g, args) for _, g in f.groupby("link", sort=False)], ignore_index=True)
+                yield _solve_links(f, args)
         if left is not None and len(left):
-            yield _solve_link(left, args)
+            yield _solve_links(left, args)
 
     sent = many.select("link", "hid", "lon", "lat", "load", "side", "d0").repartition(parallelism(sides), "link").sortWithinPartitions("link", "hid")
     got = sent.mapInPandas(solve, RESULT)
