@@ -1,7 +1,9 @@
 import math
+import time
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,3 +452,40 @@ def test_command_line_builds_a_region_from_files(spark, tmp_path):
     assert loads == pytest.approx(sum(r.load for r in homes))
     labels = {r.label for r in spark.read.option("header", True).csv(f"{folder['primnet']}7_final_edges.csv").select("label").distinct().collect()}
     assert labels == {"feeder", "primary", "secondary"} and spark.read.parquet(f"{tmp_path}/figs/7_node_H").count() == len(homes)
+
+
+def test_links_of_many_homes_are_solved_in_time():
+    rng = np.random.default_rng(3)
+    n = 1500  # all candidate places of every home took minutes
+    homes = pd.DataFrame({"link": 1, "hid": np.arange(n), "lon": -77 + rng.random(n) * 0.003, "lat": 38 + rng.random(n) * 0.003, "load": 1.0, "side": rng.choice([1, -1], n), "d0": rng.random(n) * 200})
+    start = time.process_time()
+    got = secondary._solve_links(homes, Secondary())
+    assert time.process_time() - start < 20
+    assert sorted(got["hid"]) == list(range(n)) and set(got["status"]) == {"heuristic"}
+    assert got.groupby("path").size().max() <= Secondary().max_hops and got["bound"][0] <= got["cost"][0] <= homes["d0"].sum()
+
+
+def test_sparse_cover_is_a_local_optimum():
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, [12, 9], (40, 2)).astype(float)
+    points = np.unique(points, axis=0)
+    cost = np.full((len(points),) * 2, np.inf)
+    for i, j in secondary.delaunay(points):
+        cost[i, j] = cost[j, i] = np.hypot(*(points[i] - points[j]))
+    start, load = rng.random(len(points)) * 5, np.ones(len(points))
+    paths = secondary.savings_cover(cost, start, load, 6.0, 6)
+    price = lambda own: start[own[0]] + sum(cost[a, b] for a, b in zip(own, own[1:])) if own else 0.0
+    for a in paths:
+        for i in a:
+            rest = [k for k in a if k != i]
+            for b in [[], *(p for p in paths if p is not a and len(p) < 6), rest]:
+                least = min(price([*b[:at], i, *b[at:]]) for at in range(len(b) + 1))
+                assert price(rest) == math.inf or price(a) - price(rest) - (least - price(b)) < 1e-6
+
+
+def test_homes_box_leaves_far_roads_out(spark):
+    homes = spark.createDataFrame([(1, 0.0, 38.0), (2, 0.01, 38.01)], "hid long, lon double, lat double")
+    roads = spark.createDataFrame([(1, 2, 0, [(0.011, 38.0), (0.02, 38.0)], 1.0, "r"), (3, 4, 0, [(0.5, 38.0), (0.6, 38.0)], 1.0, "r"), (5, 6, 0, [(-1.0, 37.0), (1.0, 39.0)], 1.0, "r")], EDGES)
+    assert sorted(r.u for r in mapping.around(homes, roads, 0.002).collect()) == [1, 5]
+    mapped = mapping.map_homes(homes, roads, 0.001)
+    assert sorted((r.hid, r.u, r.pad_level) for r in mapped.collect()) == [(1, 5, 0), (2, 5, 0)]

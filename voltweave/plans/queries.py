@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Config, Secondary
 from ..functions import geo
 from ..functions.hull import bounding_box
+from ..functions.lineage import cut
 from ..operators import final, graph, mapping, partition, secondary
 from ..sources import fixtures, readers, writers
 from . import network
@@ -250,9 +251,9 @@ def k_nearest_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stages(spark: SparkSession, sf_dir: str, upto: str) -> dict:
     """Tables of the stages up to a name: mapping, secondary, network, partition, primary."""
-    h = fixtures.homes(spark, sf_dir)
-    nodes, edges = fixtures.roads(spark, sf_dir)
-    subs = readers.substations_inside(fixtures.substations(spark, sf_dir), h)
+    h = cut(fixtures.homes(spark, sf_dir))  # every stage reads these
+    nodes, edges = (cut(df) for df in fixtures.roads(spark, sf_dir))
+    subs = cut(readers.substations_inside(fixtures.substations(spark, sf_dir), h)) if upto not in ("secondary", "network") else None
     x, store = network.Inputs(h, subs, nodes, edges), network.Store(spark)
     out: dict = {"inputs": x, "mapping": network.map_stage(x, CONFIG, store)}
     out |= network.secondary_stage(x, out["mapping"], CONFIG, store)
