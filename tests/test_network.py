@@ -1,5 +1,6 @@
 import math
 import time
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -512,3 +513,16 @@ def test_cells_of_a_long_region_take_one_task():
     assert time.process_time() - start < 20
     assert dist.max() == 100.0 * (h - 1 + 19) and (centre == 0).sum() == h * 20
     assert graph.TASK_EDGES >= 2_400_000
+
+
+def test_betweenness_keeps_few_pairs():
+    n = 700  # a ladder
+    a = np.concatenate([np.arange(n - 2), np.arange(0, n, 2)])
+    b = np.concatenate([np.arange(2, n), np.arange(1, n, 2)])
+    want = graph.edge_betweenness(n, a, b)
+    tracemalloc.start()
+    got = graph.edge_betweenness(n, a, b, 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want) and peak < 4_000_000  # one n x n array has 3.9 MB
+    assert got[n // 2 - 1] == pytest.approx(want.max(), rel=0.02)
