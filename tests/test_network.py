@@ -528,6 +528,35 @@ def test_betweenness_keeps_few_pairs():
     assert got[n // 2 - 1] == pytest.approx(want.max(), rel=0.02)
 
 
+def strip(h, w):
+    ids = np.arange(h * w).reshape(h, w)
+    return h * w, np.concatenate([ids[:, :-1].ravel(), ids[:-1].ravel()]), np.concatenate([ids[:, 1:].ravel(), ids[1:].ravel()])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_betweenness_by_cuts_is_that_of_all_searches(seed):
+    rng = np.random.default_rng(seed)
+    n, a, b = strip(int(rng.integers(4, 40)), int(rng.integers(1, 5)))
+    keep = rng.random(len(a)) < 0.6 + 0.1 * (seed % 5)  # with holes, dead ends and several pieces
+    far = rng.integers(0, n, (2, seed % 4))
+    a, b = np.concatenate([a[keep], far[0]]), np.concatenate([b[keep], far[1]])
+    a, b = rng.permutation(n)[np.array([a, b])][:, a != b]
+    want = graph.edge_betweenness(n, a, b, stretch=n)  # a search from every node
+    for limits in ({"stretch": 4}, {"stretch": 1, "layer": 60}, {"stretch": 3, "layer": 3, "pairs": 50}):
+        assert np.allclose(graph.edge_betweenness(n, a, b, **limits), want, rtol=1e-12, atol=1e-12)
+    pairs = graph._Walks(n, a, b, n * n).reach(np.arange(n), np.arange(n))[0]
+    assert want.sum() == pytest.approx(pairs[pairs > 0].sum() / 2)  # a path of d edges adds one to d of them
+
+
+def test_betweenness_of_a_long_strip_in_time():
+    n, a, b = strip(1200, 8)
+    start = time.process_time()
+    flow = graph.edge_betweenness(n, a, b)
+    assert time.process_time() - start < 10  # a search from every node takes several times as long
+    middle = flow[1200 * 7 + 8 * 599 :][:8]  # edges along rows come first
+    assert middle.sum() == pytest.approx((n / 2) ** 2) and middle.max() == pytest.approx(flow.max())
+
+
 def test_components_in_a_task_and_by_rounds(spark):
     rng = np.random.default_rng(2)
     nodes = spark.createDataFrame([(r, f"n{i}") for r in (0, 1) for i in range(60)], "region int, node_id string")
