@@ -528,6 +528,19 @@ def test_betweenness_keeps_few_pairs():
     assert got[n // 2 - 1] == pytest.approx(want.max(), rel=0.02)
 
 
+def test_links_of_few_homes_alone_get_the_same_lines(spark):
+    road = [(k, k + 1, [(0.01 * k, 0.0), (0.01 * k + 0.002, 0.0)]) for k in (1, 3, 5, 7)]
+    own = [(k, i) for k, many in ((1, 1), (3, 3), (5, 4), (7, 12)) for i in range(many)]
+    homes = spark.createDataFrame([(100 * k + i, 0.01 * k + 0.0001 * i, 0.0002, 100.0 + i) for k, i in own], "hid long, lon double, lat double, load double")
+    m = spark.createDataFrame([(100 * k + i, k, k + 1, 0) for k, i in own], "hid long, u long, v long, key int")
+    edges = road_frame(spark, road)
+    whole = secondary.build(m, homes, edges, Secondary(), 100)["design"].collect()
+    for most, links in ((1, {1}), (3, {1, 3}), (4, {1, 3, 5})):
+        few = secondary.build(m, homes, edges, Secondary(), 100, most_homes=most)
+        assert {r.u for r in few["sides"].collect()} == links  # the others never reach the solver
+        assert sorted(few["design"].collect()) == sorted(r for r in whole if r.u in links)
+
+
 def strip(h, w):
     ids = np.arange(h * w).reshape(h, w)
     return h * w, np.concatenate([ids[:, :-1].ravel(), ids[:-1].ravel()]), np.concatenate([ids[:, 1:].ravel(), ids[1:].ravel()])
