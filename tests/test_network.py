@@ -585,6 +585,15 @@ def test_betweenness_of_a_long_strip_in_time():
     assert middle.sum() == pytest.approx((n / 2) ** 2) and middle.max() == pytest.approx(flow.max())
 
 
+def test_betweenness_of_a_hub_keeps_few_pairs():
+    n = 1500
+    tracemalloc.start()
+    flow = graph.edge_betweenness(n, np.zeros(n - 1, int), np.arange(1, n), 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (flow == n - 1).all() and peak < 30_000_000  # a row of neighbours as long as the hub's for each pair: gigabytes
+
+
 def test_long_cell_with_its_load_at_one_end_is_split_in_time():
     n, a, b = strip(600, 8)
     load = np.where(np.arange(n) < 320, 1000.0, 0.0)
