@@ -556,6 +556,18 @@ def test_queries_of_small_links_solve_no_others(spark, monkeypatch):
     assert asked == [(("design",), 3)] and rows and max(r.homes for r in rows) <= 3
 
 
+def test_transformer_loads_make_no_other_table(spark, monkeypatch):
+    from voltweave.plans import network, queries
+
+    kept = []
+    keep = network.Store.keep
+    monkeypatch.setattr(network.Store, "keep", lambda self, name, make: kept.append(name) or keep(self, name, make))
+    rows = queries.transformer_loads(spark, "/root/testdata/sf0.001").collect()
+    assert kept == ["mapping", "secondary_transformers"]
+    whole = queries.home_peak_load(spark, "/root/testdata/sf0.001").agg(F.sum("load")).first()[0]
+    assert sum(r.load for r in rows) == pytest.approx(whole, rel=1e-6)
+
+
 def strip(h, w):
     ids = np.arange(h * w).reshape(h, w)
     return h * w, np.concatenate([ids[:, :-1].ravel(), ids[:-1].ravel()]), np.concatenate([ids[:, 1:].ravel(), ids[1:].ravel()])
