@@ -627,3 +627,62 @@ def test_components_in_a_task_and_by_rounds(spark):
     n = 300_000  # one long road; rounds of joins took one for each doubling
     order = rng.permutation(n)
     assert (graph.joined(order[:-1], order[1:], n) == 0).all()
+
+
+def plain_bound(f):
+    """The table of all shortest distances between transformers and substation, and the smallest tree over it."""
+    n, points = f.n + 1, [*f.terminals, f.n]
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b, w in [*f.edges, *((f.n, i, c) for i, c in enumerate(f.root_cost))]:
+        d[a, b] = d[b, a] = min(d[a, b], w)
+    for k in range(n):
+        d = np.minimum(d, d[:, [k]] + d[k])
+    d, total = d[np.ix_(points, points)], 0.0
+    near, left = d[-1, :-1], set(range(len(points) - 1))
+    while left:
+        i = min(left, key=lambda k: near[k])
+        total += near[i]
+        left.remove(i)
+        near = np.minimum(near, d[i, :-1])
+    return total / 2
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_bound_is_half_the_smallest_tree(seed):
+    rng = np.random.default_rng(seed)
+    n = 40
+    edges = [(i, int(rng.integers(max(0, i - 6), i)), float(rng.uniform(0, 1))) for i in range(1, n)] + [(int(a), int(a + s), float(rng.uniform(0, 1))) for a, s in rng.integers(1, 20, (30, 2))]
+    load = np.where(rng.random(n) < 0.3, 100.0, 0.0)
+    load[7] = 100.0
+    f = primary.Feeder(n, edges, load, np.where((load > 0) | (rng.random(n) < 0.5), np.inf, rng.uniform(0, 3, n)), Primary())
+    assert f.bound() == pytest.approx(plain_bound(f), rel=1e-12)
+    cut_off = primary.Feeder(n + 1, edges, np.append(load, 50.0), np.append(f.root_cost, np.inf), Primary())
+    assert cut_off.bound() == plain_bound(cut_off) == math.inf
+
+
+def test_bound_of_many_transformers_keeps_no_table_of_pairs():
+    n = 2000
+    load = np.ones(n)
+    load[0] = 0
+    f = primary.Feeder(n, [(i, i + 1, 0.5) for i in range(n - 1)], load, np.where(load > 0, np.inf, 1.0), Primary())
+    tracemalloc.start()
+    bound = f.bound()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bound == pytest.approx((1 + (n - 1) * 0.5) / 2) and peak < 8_000_000  # a table of all pairs has 32 MB
+
+
+def test_edges_of_a_cell_by_places():
+    names = pd.Series(["a", "b", "c", "d"])
+    a, b = graph.simple_edges(names, pd.Series(["c", "a", "b", "d", "d"]), pd.Series(["a", "c", "a", "d", "b"]))
+    assert [*zip(a.tolist(), b.tolist(), strict=True)] == [(0, 1), (0, 2), (1, 3)]
+    assert [len(x) for x in graph.simple_edges(names, names[:0], names[:0])] == [0, 0]
+    with pytest.raises(KeyError):
+        graph.simple_edges(names, pd.Series(["a"]), pd.Series(["x"]))
+    names = pd.Series(np.char.mod("%07d", np.arange(100_000)))
+    tracemalloc.start()
+    a, b = graph.simple_edges(names, names[:-1], names[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 99_999 and (b == a + 1).all() and peak < 12_000_000  # a dict and a set of tuples: 18 MB
