@@ -87,6 +87,31 @@ def test_chain_of_links_is_one_component(spark):
     assert len(got) == 203 and all(got[i] == 0 for i in range(201)) and got[901] == 900
 
 
+def test_components_at_once_and_by_rounds(spark):
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-(2**62), 2**62, 300)[rng.integers(0, 300, (260, 2))]] + [(5, 5)]
+    links = spark.createDataFrame([*pairs, *[(b, a) for a, b in pairs[:50]]], "a bigint, b bigint")
+    once, rounds = (sorted(map(tuple, simhash.components(links, task_links=n).collect())) for n in (simhash.TASK_LINKS, 0))
+    assert once == rounds and {n for n, _ in once} == {x for p in pairs if p[0] != p[1] for x in p}
+    assert simhash.components(links.where("a > b and a < b")).count() == 0
+
+
+def test_few_stages_for_the_driver(spark):
+    """Closing components and looking up rows of a small table makes no rounds of joins, whose stages fill the driver's memory."""
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40)) + " end" * (i % 3), "") for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-stages", "keep_one")
+    try:
+        kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+        jobs = sc.statusTracker().getJobIdsForGroup("few-stages")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    assert kept >= set(range(0, 90, 3)) and len(kept) < 60
+    assert 0 < len(jobs) < 45
+
+
 TEXTS = [
     (5, "one two three four five six seven eight nine ten", "x"), (3, "One two three four five six seven eight nine TEN", "y"),
     (9, None, "z"), (7, "", "z"), (8, " \t\n", "z"), (2, "solo", None), (2, "solo", None), (None, "solo", "q"),

@@ -53,6 +53,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET_ROWS = 2048
 #: Fingerprints that a task indexes at once, and (query, node) pairs that it holds at once.
 UNIT_ROWS, FRONTIER = 1 << 15, 1 << 20
+#: Links that one task closes into components, as arrays (some 200 MB); more take rounds of joins.
+TASK_LINKS = 1 << 21
 #: For near-duplicates: differing bits of candidates, words of a shingle, and bits and greatest difference of the signature that
 #: confirms them (at a similarity of 0.8 the mean is 39 bits with a deviation of 6, at 0.7 it is 49, and 128 for unrelated texts).
 NEAR_RADIUS, NEAR_SHINGLE, WIDE, WIDE_LIMIT = 7, 5, 256, 44
@@ -314,16 +316,31 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_rows: in
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links (a, b) of all batches."""
+    held = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches if b.num_rows]
+    if not held:
+        return
+    node, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = node[_joined(np.arange(len(node)), a, b)]
+    for i in range(0, len(node), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (node, root)], names=["node", "root"])
+
+
+def components(links: DataFrame, rounds: int = 60, hot_rows: int = HOT_ROWS, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), root the smallest of its component.
 
-    Alternating large and small stars: each round re-hangs neighbours on their smallest
-    common neighbour, by joins with grouped minima; the number of rounds grows with the
-    logarithm of the longest chain.  Each round is written to the shared folder.  A hub's
-    neighbours, which may be most nodes, are not shuffled to it.
+    Up to ``task_links`` links are closed in one task.  More take alternating large and
+    small stars: each round re-hangs neighbours on their smallest common neighbour, by joins
+    with grouped minima; the number of rounds grows with the logarithm of the longest chain.
+    Each round is written to the shared folder.  A hub's neighbours, which may be most nodes,
+    are not shuffled to it.  Every round is some ten exchanges, whose stages the driver keeps track of.
     """
     edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     total, state = edges.count(), None
+    if total <= task_links:
+        return edges.coalesce(1).mapInArrow(_closed, "node bigint, root bigint")
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
